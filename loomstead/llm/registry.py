@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality, sharding, url_filter
+from . import near_dup, packing, quality, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_quality": quality.op7_quality,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dup": near_dup.OP3_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op3_near_dup": near_dup.OP3_SQL, "op8_suffix_dedup": suffix_dedup.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL}

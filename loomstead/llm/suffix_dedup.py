@@ -137,6 +137,8 @@ def _own_runs(buf, off, known):
 def _minimizers(buckets: int):
     def found(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             places = np.flatnonzero(np.diff(b.column("chunk").to_numpy(zero_copy_only=False), prepend=-1))
             for at, to in zip(places, np.append(places[1:], b.num_rows), strict=True):
                 part = b.slice(at, to - at)
@@ -189,7 +191,7 @@ class Chunk:
         self.number = np.zeros(len(texts), np.int64)
         self.distinct: dict[int, list[bytes]] = {}
         cut = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(texts) else np.zeros(0, np.int64)
-        self.spans = list(zip(cut.tolist(), np.append(cut[1:], len(texts)).tolist(), strict=True))
+        self.spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(texts)][: len(cut)], strict=True))
         for i, j in self.spans:
             kinds = sorted(set(texts[i:j]))
             place = {t: k for k, t in enumerate(kinds)}

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality, sharding, suffix_dedup, url_filter
+from . import decontaminate, near_dup, packing, quality, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op3_near_dup": near_dup.op3_near_dup,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dup": near_dup.OP3_SQL, "op8_suffix_dedup": suffix_dedup.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op3_near_dup": near_dup.OP3_SQL, "op8_suffix_dedup": suffix_dedup.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL}

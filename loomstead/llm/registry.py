@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, quality, sharding, suffix_dedup, url_filter
+from . import decontaminate, near_dup, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_near_dup": near_dup.op3_near_dup,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,

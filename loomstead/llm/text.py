@@ -13,6 +13,8 @@ import pyarrow as pa
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, other control characters and ASCII punctuation.
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -60,13 +62,20 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         at = to
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, offsets of each row's words, and the byte at which each word starts."""
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, offsets of each row's words, and the byte at which each word starts; ``apart`` marks the bytes between words."""
+    (hashes,), woff, starts = stems(buf, off, (), apart)
+    return hashes, woff, starts
+
+
+def stems(buf: np.ndarray, off: np.ndarray, lengths: tuple[int, ...], apart: np.ndarray = _SPACE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """As ``words``, with the hashes of the words and then of their first bytes, for each of ``lengths``; a shorter word counts whole."""
     n = len(buf)
     rows = len(off) - 1
+    none = [np.zeros(0, U) for _ in range(1 + len(lengths))]
     if not n:
-        return np.zeros(0, U), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[buf]
+        return none, np.zeros(rows + 1, np.int64), np.zeros(0, np.int64)
+    space = apart[buf]
     opens = np.empty(n, bool)
     opens[0] = True
     opens[1:] = space[:-1]
@@ -74,14 +83,14 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     opens &= ~space
     starts = np.flatnonzero(opens)
     if not len(starts):
-        return np.zeros(0, U), np.zeros(rows + 1, np.int64), starts
+        return none, np.zeros(rows + 1, np.int64), starts
     span = np.diff(np.append(starts, n))
     place = np.arange(starts[0], n) - np.repeat(starts, span)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int(place.max()) + 1, _BASE, U))
-        term = _BYTE[_LOWER[buf[starts[0] :]]] * power[place]
-        hashes = mix(np.add.reduceat(term, starts - starts[0]))
-    return hashes, np.searchsorted(starts, off), starts
+        term = np.where(apart, U(0), _BYTE)[_LOWER][buf[starts[0] :]] * power[place]
+        sums = [np.add.reduceat(term, starts - starts[0]), *(np.add.reduceat(np.where(place < m, term, U(0)), starts - starts[0]) for m in lengths)]
+    return [mix(s) for s in sums], np.searchsorted(starts, off), starts
 
 
 def shingles(hashes: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

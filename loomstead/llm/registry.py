@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import decontaminate, near_dup, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": quality.op7_quality,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import decontaminate, html_text, near_dup, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_near_dup": near_dup.op3_near_dup,
+        "op4_html_text": html_text.op4_html_text,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_quality": quality.op7_quality,

@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import LEARN_FROM, held_out, learn_from
 from .runtime import need, ship, table
 from .text import pieces, utf8, words
 
+#: Documents with a lower score are rejected.
+KEEP_FROM = 0.3
 NAMES = (
     "bytes", "words", "lines", "word_length", "line_words", "space", "upper", "lower", "digit", "wide", "full_stop", "comma", "exclaim", "question", "pipe",
     "symbol", "bracket", "quote", "other", "byte_entropy", "distinct_words", "top_word", "repeated_lines", "top_line", "long_words", "short_words",
@@ -152,19 +155,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM) -> Trees:
     return grow(x, got["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs``, which have an ``id`` and a ``text``, with the text replaced by its ``score``."""
+def score(docs: DataFrame, trees: Trees, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` and a new last one, ``quality_score``; without ``keep_text`` the text isn't carried back."""
+    kept = [f for f in docs.schema if keep_text or f.name != text_col]
 
     def scored(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(trees.score(statistics(part.column("text"))))], ["id", "score"])
+            for part in pieces(batch, text_col):
+                columns = [part.column(f.name) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(trees.score(statistics(part.column(text_col))))], [*(f.name for f in kept), "quality_score"])
 
-    return docs.select("id", "text").mapInArrow(scored, f"id {docs.schema['id'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(scored, T.StructType([*kept, T.StructField("quality_score", T.DoubleType())]))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = need(table(spark, sf_dir, "documents"), id="doc_id", text="text")
     scores = score(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= KEEP_FROM).cast("int").alias("predicted"))

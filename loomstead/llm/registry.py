@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, html_text, near_dup, neighbours, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_neighbours": neighbours.op10_neighbours,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -295,7 +295,15 @@ def _merged(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": pa.array([1] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
 
-def _cut(buckets: int):
+def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, but a character stays whole if one of its bytes stays."""
+    starts = np.flatnonzero((buf & 0xC0) != 0x80)
+    if not len(starts):
+        return gone
+    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.append(starts, len(buf))))
+
+
+def _cut(buckets: int, characters: bool, carry: list[str]):
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
         c = Chunk(docs, replies, buckets)
         step = np.zeros(len(c.buf) + 1, np.int32)
@@ -317,6 +325,8 @@ def _cut(buckets: int):
             np.add.at(step, begin, 1)
             np.add.at(step, begin + many[reply] + WINDOW - 1, -1)
         gone = np.cumsum(step[:-1]) > 0
+        if characters:
+            gone = _whole_characters(c.buf, gone)
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         heads = c.off[:-1][np.diff(c.off) > 0]
@@ -333,29 +343,37 @@ def _cut(buckets: int):
         left = np.concatenate([[0], np.cumsum(~gone)])[c.off]
         big = lambda offsets, values: pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values, pa.int64())).cast(pa.list_(pa.int64()))
         texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(c.off) - 1, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-        return pa.table({"id": docs.column("id"), "n_bytes": np.diff(c.off), "starts": big(per_row, opens - c.off[row]), "ends": big(per_row, closes - c.off[row]), "kept": texts})
+        return pa.table({"id": docs.column("id"), "n_bytes": np.diff(c.off), "starts": big(per_row, opens - c.off[row]), "ends": big(per_row, closes - c.off[row]), "kept": texts} | {x: docs.column(x) for x in carry})
 
     return cut
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
-    """(id, n_bytes, starts, ends, kept) for every row of ``docs``: the removed runs of bytes and what remains, as binary."""
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, starts, ends, kept, ...) for every row of ``docs``: the removed runs of bytes and what remains, as binary.
+
+    With ``characters`` a character that loses some of its bytes only stays whole, so that what remains is UTF-8. The columns
+    in ``carry`` come behind.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = need(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    chunks = docs.mapInArrow(_chunked(chunk_bytes), "id long, text string, chunk long")
+    carried = {f"carried_{i}": c for i, c in enumerate(carry)}
+    docs = need(docs, id=id_col, text=text_col, **carried).withColumn("id", F.col("id").cast("long"))
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    chunks = docs.mapInArrow(_chunked(chunk_bytes), f"id long, text string{kinds}, chunk long")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(shuffle_width(spark), -(-total // BUCKET))
     name = f"loomstead_{uuid.uuid4().hex}"
     chunks.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
-    found = chunks.mapInArrow(_minimizers(buckets), "chunk long, bucket long, several binary, single binary")
+    plain = chunks.select("id", "text", "chunk")
+    found = plain.mapInArrow(_minimizers(buckets), "chunk long, bucket long, several binary, single binary")
     reply = "chunk long, bucket long, kind int, blob binary"
     often = stored(found.groupBy("bucket").applyInArrow(_repeated, reply), "often")
-    sent = chunks.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_segments(buckets), "chunk long, bucket long, blob binary")
+    sent = plain.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_segments(buckets), "chunk long, bucket long, blob binary")
     replies = stored(often.union(sent.groupBy("bucket").applyInArrow(_merged, reply)), "replies")
-    result = "id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(buckets), result).withColumnRenamed("id", id_col)
+    result = "id long, n_bytes long, starts array<long>, ends array<long>, kept binary" + kinds
+    cut = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(buckets, characters, list(carried)), result)
+    return cut.toDF(id_col, "n_bytes", "starts", "ends", "kept", *carry)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,4 +32,4 @@ def test_empty_tables_and_nulls(spark):
     docs = spark.createDataFrame([(None, None), (1, "a"), (1, "a")], "id long, text string")
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     trees = learn(docs, labels)
-    assert [r.score for r in score(docs, trees).collect()] == [0.5] * 3 and score(docs.limit(0), trees).count() == 0
+    assert [r.quality_score for r in score(docs, trees).collect()] == [0.5] * 3 and score(docs.limit(0), trees).count() == 0

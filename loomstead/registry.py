@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import claims
+from .plans import claims, orders_graph
 
-PARTS = (claims,)
+PARTS = (claims, orders_graph)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import claims, orders_graph
+from .plans import claims, corpus, orders_graph, people
 
-PARTS = (claims, orders_graph)
+PARTS = (claims, orders_graph, corpus, people)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def existing(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """Edges (src, dst, ...) whose two ends exist, once for each pair of ends."""
-    return edges.join(src.select(F.col(src.columns[0]).alias("src")), "src", "left_semi").join(dst.select(F.col(dst.columns[0]).alias("dst")), "dst", "left_semi").dropDuplicates(["src", "dst"])
+    return edges.join(src.select(F.col(src.columns[0]).alias("src")), "src", "left_semi").join(dst.select(F.col(dst.columns[0]).alias("dst")), "dst", "left_semi").dropDuplicates(["src", "dst"]).select(edges.columns)
 
 
 def mention_edges(mentions: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def entities_for(edges: DataFrame, docs: DataFrame, each: int) -> DataFrame:
 
 def together(edges: DataFrame, pairs_of: DataFrame) -> DataFrame:
     """Documents that join two of the given entities (eid)."""
-    own = edges.join(F.broadcast(pairs_of.select("eid").distinct()), "eid").select("eid", "doc_id").distinct()
+    own = edges.join(pairs_of.select("eid").distinct(), "eid").select("eid", "doc_id").distinct()
     a, b = own.toDF("a", "doc_id"), own.toDF("b", "doc_id")
     return a.join(b, "doc_id").where("a < b").select("a", "b", "doc_id")
 

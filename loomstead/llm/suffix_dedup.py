@@ -1,13 +1,16 @@
-"""Suffix-array dedup: strings of ``WINDOW`` bytes that an earlier document also has, found by merging Burrows-Wheeler orders.
+"""Suffix-array dedup: strings of ``WINDOW`` bytes that an earlier document also has, found by interleave refinement.
+
+This departs from a full merge of shard Burrows-Wheeler transforms: no shard's transform is built beforehand, and exact
+folding of equal texts comes before the refinement. The README says why.
 
 1. Documents are stored in chunks of about ``CHUNK`` bytes, in a table bucketed by chunk, so that later joins by chunk move
    no text. A chunk cuts its windows into runs that share a minimizer (the least hash of a 16-byte string in the window).
 2. Minimizers that occur in one document only can't stand in a repeated window; all others are told to the chunks.
 3. A chunk sends the distinct texts of its runs with repeated minimizers, with their smallest and largest document, to the
    bucket of the minimizer: equal windows always meet there.
-4. A bucket takes the chunks' runs as shards and interleaves the orders of their suffixes: each refinement step deals the
-   suffixes out, stably, by the Burrows-Wheeler symbol (two bytes) before them, so that after step t they are in the order
-   of 2t bytes, and groups with a common prefix of that length are carried along. Suffixes alone in their group leave.
+4. A bucket puts the distinct texts one behind another and refines the order of their windows: each step deals them out,
+   stably, by the two bytes before the place reached, so that after step t they are in the order of their last 2t bytes,
+   and groups with that much in common are carried along. Windows alone in their group leave.
    After WINDOW bytes the groups are the repeated intervals. Each interval's smallest document goes back to the chunks.
 5. A chunk marks the windows whose smallest document is below their own and cuts those bytes out.
 

@@ -26,8 +26,8 @@ from .text import pieces, utf8
 ROOM = 2048
 #: About so many pieces share a (length, salt) group at most.
 GROUP_ROWS = 50_000
-#: Words that a task remembers.
-KNOWN = 400_000
+#: Words that a worker remembers: about 200 bytes each.
+KNOWN = 600_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -91,6 +91,16 @@ class Tokens:
         return out
 
 
+_loaded: dict[str, Tokens] = {}
+
+
+def loaded(path: str) -> Tokens:
+    """One for each worker process, so that a task finds the words that earlier tasks met there."""
+    if path not in _loaded:
+        _loaded[path] = Tokens(path)
+    return _loaded[path]
+
+
 def best_fit(counts: dict[int, int], room: int) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, first sequence, offset) and the number of sequences, from the number of pieces of each length."""
     open_groups: list[list[tuple[int, tuple | None]]] = [[] for _ in range(room + 1)]  # by free room: (bins, chain of (length, times))
@@ -138,7 +148,7 @@ def cut(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every piece of ``docs`` (id, text)."""
 
     def pieces_of(batches):
-        tokens = Tokens(tokenizer)
+        tokens = loaded(tokenizer)
         for batch in batches:
             for part in pieces(batch, "text"):
                 buf, off = utf8(part.column("text"))

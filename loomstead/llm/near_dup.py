@@ -27,6 +27,8 @@ from .text import U, distinct, mix, pieces, shingle_sets, shingles, utf8, words
 
 #: A cell has about so many documents or shingles in each of its two blocks.
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 2_000_000
+#: The members of clusters are broadcast up to so many (about 50 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_MEMBERS = 500_000
 _RANK = 40
 
 
@@ -184,12 +186,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     firsts = banded.groupBy("band", "hash").agg(F.min("rep").alias("center"), F.count("*").alias("many")).where("many > 1").drop("many")
     near = banded.join(firsts, ["band", "hash"]).where("rep <> center").select("rep", "center")
-    clusters = stored(components(near), "clusters")
-    members = classes.select(F.col("rep").alias("node"), "n").join(clusters, "node")
-    large = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts")).where("parts > 1")
+    members = stored(classes.select(F.col("rep").alias("node"), "n").join(components(near), "node"), "members")
+    large = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts")).where("parts > 1")
     placed = members.select("node", "component").distinct().join(large, "component", "left").select("node", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    if members.count() <= BROADCAST_MEMBERS:  # else the join shuffles the texts
+        placed = F.broadcast(placed)
     texts = docs.where("id IS NOT NULL").join(placed, docs["id"] == placed["node"]).select("id", "text", "component", "parts", "block")
     cells = texts.select("id", "text", "component", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = cells.select("id", "text", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))

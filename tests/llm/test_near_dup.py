@@ -84,3 +84,14 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_components_of_random_links(spark):
+    rnd = random.Random(9)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)]
+    root = list(range(300))
+    for a, b in links:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()))
+    assert got == {i: root[i] for i in {x for a, b in links if a != b for x in (a, b)}}

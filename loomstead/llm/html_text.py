@@ -48,6 +48,11 @@ CLASSES = {
 }
 #: Words that make a class name one of the page's frame ("with-sidebar", "no-ads") rather than of the part itself.
 FRAME = {"with", "has", "no", "without", "wrapper", "wrap", "container", "page", "layout", "content", "main", "body"}
+#: Open elements whose end tag may be left out before an element of the name.
+IMPLIED = {
+    "li": {"li"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
+    **dict.fromkeys(("tbody", "thead", "tfoot"), {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"}),
+}
 HEADINGS = {"h1"}
 HOLDERS = {"article", "main"}
 
@@ -88,23 +93,28 @@ def _named_away(name: str, attributes: str) -> bool:
 def _ends(tokens: list[tuple[str, bool, str, str]]) -> tuple[list[int], list[int]]:
     """For each opening tag, the token at which its element ends, and its parent (or -1)."""
     ends, parents, stack = [len(tokens)] * len(tokens), [-1] * len(tokens), []
+    places: dict[str, list[int]] = {}  # of each name's open elements: where they are in the stack
+
+    def pop(at: int) -> None:
+        top = stack.pop()
+        places[tokens[top][0]].pop()
+        ends[top] = at
+
     for i, (name, closes, attributes, _) in enumerate(tokens):
         if not name:
             continue
         if closes:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if tokens[stack[k]][0] == name:
-                    for j in stack[k:]:
-                        ends[j] = i
-                    del stack[k:]
-                    break
+            if own := places.get(name):
+                for _ in range(len(stack) - own[-1]):
+                    pop(i)
             continue
-        while stack and (name in BLOCK and tokens[stack[-1]][0] == "p" or name == tokens[stack[-1]][0] and name in ("li", "option", "dt", "dd", "tr", "td", "th")):
-            ends[stack.pop()] = i
+        while stack and (name in BLOCK and tokens[stack[-1]][0] == "p" or tokens[stack[-1]][0] in IMPLIED.get(name, ())):
+            pop(i)
         parents[i] = stack[-1] if stack else -1
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             ends[i] = i
         else:
+            places.setdefault(name, []).append(len(stack))
             stack.append(i)
     return ends, parents
 

@@ -45,3 +45,13 @@ def test_odd_rows(spark):
 def test_long_page_takes_time_in_proportion():
     page = "<article>" + "<div><p>text <b>more</b></p>" * 40_000
     assert main_text(page).count("\n") == 39_999
+
+
+@pytest.mark.parametrize("rows", [3, 99, 100, 5000])
+@pytest.mark.parametrize("part", ["<table>{}</table>|<tr><td>x<th>y", "<dl>{}</dl>|<dt>x<dd>y", "<table>{}</table>|<tbody><tr><td>x", "<div>{}</div>|<b><i>x"])
+def test_elements_end_at_any_depth(part, rows):
+    frame, row = part.split("|")
+    inner = frame.format(row * rows)
+    assert main_text(f"<nav>{inner}</nav><article><p>A</p></article><footer>{inner}</footer>") == "A"
+    text = main_text(f"<article><p>A</p>{inner}</article><p>after it, and not of the article</p>")
+    assert text.startswith("A\n") and "after" not in text

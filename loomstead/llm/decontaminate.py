@@ -1,11 +1,10 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are partitioned by the size of their shingle set (powers of two). Against the items of up to ``m`` shingles a
-document is seen as windows of ``2 m`` shingles, each starting ``m`` after the last, so that an item is about as large as
-the window that holds it, however long the document. Item and window are sketched by one permutation: the hash range has
-``4 m`` bins and each bin keeps its least hash. An item that has a bin's minimum in common with a window is a candidate, and
-stays if at least ``threshold`` of its shingles are in the whole document. A sketch is made only of windows that hold
-some item's minimum, since no other can match.
+Test items are partitioned by the size of their shingle set (powers of two) and sketched by one permutation: for items of up
+to ``m`` shingles the hash range has ``4 m`` bins and each bin keeps its least hash, so a sketch is most of a small item. An
+item with at least ``threshold`` of its shingles in a document lacks at most the rest there, and so does its sketch: it is a
+candidate if all but that many of its sketch's hashes are in the document, wherever they stand, and stays if enough of its
+shingles are. No item is lost so; one whose sketch is no larger than what it may lack is looked up by all its shingles.
 
 Items go to the tasks in blocks of at most ``BLOCK`` shingles; a larger benchmark takes several passes over the documents.
 
@@ -28,9 +27,9 @@ from .runtime import need, ship, stored, table
 from .text import U, pieces, shingle_sets, shingles, utf8, words
 
 K, THRESHOLD = 5, Fraction(80, 100)
-#: Shingles of the items that a task holds at once: 8 bytes each, and as much again for their sketches.
+#: Shingles of the items that a task holds at once: 8 bytes each, and up to twice as much again for their sketches.
 BLOCK = 1_000_000
-#: Bits of the table that first tells whether a hash is some item's minimum.
+#: Bits of the table that first tells whether a hash is in some item's sketch.
 _BITS = 22
 
 
@@ -56,36 +55,29 @@ def _minima(values: np.ndarray, bins: int) -> np.ndarray:
 class Sketches:
     """The sketches of a block of items by size class."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], threshold: Fraction):
         self.sets = sets
-        level = np.array([int(len(s) - 1).bit_length() for s in sets])
-        self.classes = []
+        size = np.array([len(s) for s in sets])
+        lack = np.array([int(n) - -(-threshold.numerator * int(n) // threshold.denominator) for n in size])
+        minima = [_minima(s, 4 << int(len(s) - 1).bit_length()) for s in sets]
+        minima = [m if len(m) > few else s for m, few, s in zip(minima, lack, sets, strict=True)]
+        held = np.array([len(m) for m in minima])
+        #: How many of its sketch's hashes a document with enough of an item holds at least.
+        self.least = held - lack
+        values, item = np.concatenate(minima), np.repeat(np.arange(len(sets)), held)
+        order = np.argsort(values, kind="stable")
+        self.values, self.item = values[order], item[order]
         self.table = np.zeros(1 << _BITS, bool)
-        for c in np.unique(level):
-            own = np.flatnonzero(level == c)
-            minima = [_minima(sets[i], 4 << c) for i in own]
-            values = np.concatenate(minima)
-            item = np.repeat(own, [len(m) for m in minima])
-            order = np.argsort(values, kind="stable")
-            self.classes.append((1 << int(c), values[order], item[order]))
-            self.table[values >> U(64 - _BITS)] = True
-
-    def candidates(self, h: np.ndarray) -> set[int]:
-        """Items that share a bin's minimum with a window of ``h``, the hashes of a document in their order."""
-        near = np.flatnonzero(self.table[h >> U(64 - _BITS)])
-        found: set[int] = set()
-        if not len(near):
-            return found
-        for m, values, item in self.classes:
-            at = np.searchsorted(values, h[near])
-            hit = near[values[np.minimum(at, len(values) - 1)] == h[near]]
-            last = max(0, -(-(len(h) - 2 * m) // m))
-            for w in np.unique(np.clip(np.concatenate([hit // m, hit // m - 1]), 0, last)):
-                low = _minima(h[w * m : w * m + 2 * m], 4 * m)
-                a, b = np.searchsorted(values, low), np.searchsorted(values, low, side="right")
-                for i in np.flatnonzero(b > a):
-                    found.update(item[a[i] : b[i]].tolist())
-        return found
+        self.table[self.values >> U(64 - _BITS)] = True
+
+    def candidates(self, whole: np.ndarray) -> np.ndarray:
+        """Items with enough of their sketch in ``whole``, the distinct hashes of a document."""
+        near = whole[self.table[whole >> U(64 - _BITS)]]
+        a, b = np.searchsorted(self.values, near), np.searchsorted(self.values, near, side="right")
+        n = b - a
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, hits = np.unique(self.item[at], return_counts=True)
+        return item[hits >= self.least[item]]
 
 
 def contained(docs: DataFrame, items: DataFrame, k: int = K, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,7 +95,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = K, threshold: Fraction
         rows = listed.where(F.pmod(F.xxhash64("set", "item"), F.lit(blocks)) == block).select("item", "set").toArrow()
         names = rows.column("item").combine_chunks()
         sets = [np.array(s, np.int64).view(U) for s in rows.column("set").to_pylist()]
-        sketches = Sketches(sets) if sets else None
+        sketches = Sketches(sets, threshold) if sets else None
 
         def searched(batches):
             for batch in batches:
@@ -113,15 +105,13 @@ def contained(docs: DataFrame, items: DataFrame, k: int = K, threshold: Fraction
                     row, item, shared = [], [], []
                     near = np.concatenate([[0], np.cumsum(sketches.table[h >> U(64 - _BITS)])])[off]
                     for r in np.flatnonzero(np.diff(near)):
-                        own = h[off[r] : off[r + 1]]
-                        if found := sketches.candidates(own):
-                            whole = np.unique(own)
-                            for i in sorted(found):
-                                n = len(np.intersect1d(sets[i], whole, assume_unique=True))
-                                if q * n >= p * len(sets[i]):
-                                    row.append(r)
-                                    item.append(i)
-                                    shared.append(n)
+                        whole = np.unique(h[off[r] : off[r + 1]])
+                        for i in sketches.candidates(whole).tolist():
+                            n = len(np.intersect1d(sets[i], whole, assume_unique=True))
+                            if q * n >= p * len(sets[i]):
+                                row.append(r)
+                                item.append(i)
+                                shared.append(n)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id").take(pa.array(row, pa.int64())), names.take(pa.array(item, pa.int64())), pa.array([len(sets[i]) for i in item], pa.int64()), pa.array(shared, pa.int64())],
                         ["id", "item", "n_shingles", "n_shared"])

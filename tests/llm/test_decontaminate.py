@@ -50,3 +50,20 @@ def test_pairs_are_those_of_brute_force(spark, monkeypatch, block):
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contained(d, i.limit(0)).collect() == [] and contained(d.limit(0), i).collect() == [] and contained(d, i).count() == 1
+
+
+def test_small_and_strewn_items_are_found(spark):
+    rnd = random.Random(8)
+    new = iter(range(1_000_000))
+    fresh = lambda n: [f"u{next(new)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(240):
+        part = fresh(5 + i % 4)
+        items.append((i, " ".join(part)))
+        docs.append((i, " ".join([part + fresh(200), fresh(200) + part, fresh(100) + part + fresh(100)][i // 4 % 3])))
+    for i in range(240, 270):
+        part = fresh(40)
+        items.append((i, " ".join(part)))
+        docs.append((i, " ".join(w for s in rnd.sample(range(36), 30) for w in part[s : s + 5] + fresh(300))))
+    got = sorted((tuple(r) for r in contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
+    assert got == brute(docs, items, Fraction(8, 10)) and len(got) == len(docs)

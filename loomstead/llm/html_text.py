@@ -32,6 +32,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names, roles and class words.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "xmp", "noframes"}
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -60,7 +61,7 @@ HOLDERS = {"article", "main"}
 def _tokens(page: str) -> list[tuple[str, bool, str, str]]:
     """(name, whether it closes, attributes, text behind it) of each tag; the content of raw elements is left out."""
     out: list[tuple[str, bool, str, str]] = []
-    at, low, n = 0, None, len(page)
+    at, n = 0, len(page)
     name, closes, attributes = "", False, ""
     while True:
         m = TOKEN.search(page, at)
@@ -71,9 +72,8 @@ def _tokens(page: str) -> list[tuple[str, bool, str, str]]:
         name = (m[2] or m[5] or "").lower()
         closes, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW and not closes and not attributes.endswith("/"):
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{name}", at) if len(low) == n else page.find(f"</{name}", at)
-            at = n if end < 0 else end
+            end = RAW_END[name].search(page, at)
+            at = end.start() if end else n
 
 
 def _named_away(name: str, attributes: str) -> bool:

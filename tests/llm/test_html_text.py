@@ -55,3 +55,9 @@ def test_elements_end_at_any_depth(part, rows):
     assert main_text(f"<nav>{inner}</nav><article><p>A</p></article><footer>{inner}</footer>") == "A"
     text = main_text(f"<article><p>A</p>{inner}</article><p>after it, and not of the article</p>")
     assert text.startswith("A\n") and "after" not in text
+
+
+@pytest.mark.parametrize("tag", ["TITLE", "Script", "style"])
+def test_raw_elements_end_whatever_letters_the_page_has(tag):
+    raw = f"<{tag}>no</{tag}>"
+    assert main_text(f"<HTML><HEAD>{raw}</HEAD><ARTICLE><P>\u0130stanbul</P>{raw}<P>B</P></ARTICLE>") == "\u0130stanbul\nB"

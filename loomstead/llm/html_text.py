@@ -1,11 +1,12 @@
 """HTML extraction by line-block distribution: the text between the surge and dive points of window sums of line lengths.
 
 Markup is stripped into lines, one for each block of the page. Lines of menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, known by their elements, roles and class names, are blanked, and so
-are lines that are mostly links where the page names no article; each blanked element leaves a gap of blank lines. Over
-the lengths of the lines, sums over windows of ``WINDOW`` lines rise from zero at a surge point and fall to zero at a dive
-point, and the lines between are text if the sum somewhere reaches a threshold. The threshold is one character inside an
-``article`` or ``main`` element, where nothing may be lost, and ``SURGE`` on a page without either.
+adverts, forms, scripts, styles and reader comments, known by their elements, roles and class names, are blanked. Each
+blanked element leaves a gap of blank lines, but adverts, forms and notices leave none, as they may stand anywhere in a text.
+Over the lengths of the lines, sums over windows of ``WINDOW`` lines rise from zero at a surge point and fall to zero at a
+dive point, and the run between is accepted if the sum somewhere reaches a threshold: one character inside an ``article`` or
+``main`` element, where nothing may be lost, and ``SURGE`` on a page without either. There lines that are mostly links count
+nothing. The text goes from the first accepted run to the last, with every line between that isn't blanked.
 
 Defined cases: null or empty pages and pages without text give an empty text; cut-off pages are read to their end, an
 unfinished tag being markup; unknown character references stay as they are. Repeated rows are extracted alike. The whole
@@ -47,6 +48,13 @@ CLASSES = {
     "alert", "disclaimer", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "related",
     "recommended", "recommendations", "widget", "widgets", "popup", "modal", "overlay", "toolbar", "pagination", "pager", "skip", "toc", "copyright", "legal", "form", "search",
 }
+#: Elements, roles and class words of parts that may stand anywhere in a text and leave no gap.
+INSETS = {"form", "dialog", "button", "select", "input", "label", "fieldset", "search", "datalist"}
+INSET_ROLES = {"search", "form", "dialog", "alertdialog", "alert", "status", "note"}
+INSET_CLASSES = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "adbox", "banner", "banners", "sponsor", "sponsored", "promo", "promos", "promotion", "cookie", "cookies", "consent",
+    "gdpr", "notice", "notices", "notification", "alert", "disclaimer", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "popup", "modal", "overlay", "form", "search",
+}
 #: Words that make a class name one of the page's frame ("with-sidebar", "no-ads") rather than of the part itself.
 FRAME = {"with", "has", "no", "without", "wrapper", "wrap", "container", "page", "layout", "content", "main", "body"}
 #: Open elements whose end tag may be left out before an element of the name.
@@ -76,11 +84,15 @@ def _tokens(page: str) -> list[tuple[str, bool, str, str]]:
             at = end.start() if end else n
 
 
+def _attributes(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)}
+
+
 def _named_away(name: str, attributes: str) -> bool:
     """Whether an element's role or class names say that it isn't of the article."""
     if name in ("html", "body", "main") or not attributes:
         return False
-    got = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)}
+    got = _attributes(attributes)
     if got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
         return True
     for label in f"{got.get('class', '')} {got.get('id', '')}".split():
@@ -90,6 +102,16 @@ def _named_away(name: str, attributes: str) -> bool:
     return False
 
 
+def _inset(name: str, attributes: str) -> bool:
+    """Whether an element that isn't of the article is an advert, a form or a notice, and nothing else by its names."""
+    if name in DROPPED:
+        return name in INSETS
+    got = _attributes(attributes)
+    own = {w.lower() for label in f"{got.get('class', '')} {got.get('id', '')}".split() for w in (*WORD.findall(label), label)} & CLASSES
+    role = got.get("role", "").lower()
+    return own <= INSET_CLASSES and (role not in ROLES or role in INSET_ROLES)
+
+
 def _ends(tokens: list[tuple[str, bool, str, str]]) -> tuple[list[int], list[int]]:
     """For each opening tag, the token at which its element ends, and its parent (or -1)."""
     ends, parents, stack = [len(tokens)] * len(tokens), [-1] * len(tokens), []
@@ -119,8 +141,8 @@ def _ends(tokens: list[tuple[str, bool, str, str]]) -> tuple[list[int], list[int
     return ends, parents
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool]]:
-    """The page's lines, blanked where they aren't of the article, and whether each is in the page's article."""
+def lines_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """The page's lines, blanked where they aren't of the article, and whether each is in the page's article and mostly links."""
     tokens = _tokens(page)
     ends, parents = _ends(tokens)
     headings = [i for i, t in enumerate(tokens) if t[0] in HEADINGS and not t[1]]
@@ -128,6 +150,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     holds = lambda i, marks: any(i < m < ends[i] for m in marks)
     dropped, until = [False] * len(tokens), -1
     inside, inside_until = [False] * len(tokens), -1
+    inset, inset_ends, small = [False] * len(tokens), set(), False
     for i, (name, closes, attributes, _) in enumerate(tokens):
         if i >= until and name and not closes:
             away = False
@@ -137,8 +160,11 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             elif _named_away(name, attributes):
                 away = not holds(i, headings) and (not holds(i, holders) or any(not i <= m < ends[i] for m in holders))
             if away:
-                until = ends[i]
+                until, small = ends[i], _inset(name, attributes)
+                if small and until < len(tokens) and tokens[until][1] and tokens[until][0] == name:
+                    inset_ends.add(until)
         dropped[i] = i < until
+        inset[i] = dropped[i] and small
         if i >= inside_until and name in HOLDERS and not closes and not dropped[i]:
             inside_until = ends[i]
         inside[i] = i < inside_until
@@ -147,7 +173,14 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     for i, (name, closes, _, text) in enumerate(tokens):
         if name == "a":
             linked = max(0, linked + (-1 if closes else 1)) if closes else 1
-        if name in BLOCK:
+        if inset[i]:
+            if name in BLOCK and lines[-1].strip() and not (i and inset[i - 1]):
+                lines.append("")
+                article.append(inside[i])
+                links.append(0)
+            lines[-1] += " "
+            continue
+        if name in BLOCK and i not in inset_ends:
             lines.append("")
             article.append(inside[i])
             links.append(0)
@@ -159,7 +192,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
                     article.append(inside[i])
                     links.append(0)
             continue
-        if i and dropped[i - 1]:
+        if i and dropped[i - 1] and not inset[i - 1]:
             lines.append("")
             article.append(inside[i])
             links.append(0)
@@ -169,29 +202,25 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             lines[-1] += text
             links[-1] += len(text) if linked else 0
     clean = [" ".join(html.unescape(x).split()) if x else "" for x in lines]
-    named = any(a and c for a, c in zip(article, clean, strict=True))
-    for i, c in enumerate(clean):
-        if c and not named and links[i] > 0.5 * len(lines[i]):
-            clean[i] = ""
-    return clean, article
+    return clean, article, [n > 0.5 * len(x) for n, x in zip(links, lines, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, article = lines_of(page)
+    lines, article, linked = lines_of(page)
     named = any(a and c for a, c in zip(article, lines, strict=True))
-    size = np.array([len(c) if a or not named else 0 for c, a in zip(lines, article, strict=True)])
+    size = np.array([len(c) if a or not named and not l else 0 for c, a, l in zip(lines, article, linked, strict=True)])
     padded = np.concatenate([np.zeros(WINDOW - 1, np.int64), size, np.zeros(WINDOW - 1, np.int64)])
     total = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")  # total[i]: the window that ends with line i
     filled = np.concatenate([[0], (total > 0).astype(np.int64), [0]])
     surges, dives = np.flatnonzero(np.diff(filled) > 0), np.flatnonzero(np.diff(filled) < 0)
     least = 1 if named else min(SURGE, int(total.max(initial=0)))
-    out = []
-    for a, b in zip(surges, dives, strict=True):
-        if total[a:b].max() >= least:
-            out += [lines[i] for i in range(a, min(b, len(lines))) if size[i]]
-    return "\n".join(out)
+    runs = [(a, b) for a, b in zip(surges, dives, strict=True) if total[a:b].max() >= least]
+    if not runs:
+        return ""
+    first, last = runs[0][0], min(runs[-1][1], len(lines))
+    return "\n".join(lines[i] for i in range(first, last) if lines[i] and (size[i] or not named))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -61,3 +61,23 @@ def test_elements_end_at_any_depth(part, rows):
 def test_raw_elements_end_whatever_letters_the_page_has(tag):
     raw = f"<{tag}>no</{tag}>"
     assert main_text(f"<HTML><HEAD>{raw}</HEAD><ARTICLE><P>\u0130stanbul</P>{raw}<P>B</P></ARTICLE>") == "\u0130stanbul\nB"
+
+
+LONG = "word " * 20
+AD = "<div class=ad><div><p>Buy this now</p></div></div>"
+UNNAMED = [
+    (f"<p>{LONG}</p>{AD}<p>A short paragraph.</p>{AD}<h2>Head</h2><form><p>mail</p></form><p>{LONG}</p>", "A short paragraph.\nHead"),
+    (f"<p>{LONG}</p>{AD}<aside>no</aside><ul><li>one<li>two</ul><nav><a href=1>x</a></nav><p>{LONG}</p>", "one\ntwo"),
+    (f"<p>{LONG}</p><p><a href=1>A link paragraph of the article, which is long enough</a></p><p>{LONG}</p>", "A link paragraph of the article, which is long enough"),
+]
+
+
+@pytest.mark.parametrize(("inner", "kept"), UNNAMED)
+def test_nothing_between_accepted_runs_is_lost(inner, kept):
+    frame = "<div><ul><li><a href=1>Home page of this site</a><li><a href=2>All about it and more</a></ul></div><div>{}</div><footer>(c) us</footer>"
+    assert main_text(frame.format(inner)) == f"{LONG.strip()}\n{kept}\n{LONG.strip()}"
+
+
+def test_an_advert_at_the_edge_parts_nothing():
+    assert main_text(f"<h2>Head</h2>{AD}<p>{LONG}</p>{AD}<p>The end.</p><footer>(c) us</footer>") == f"Head\n{LONG.strip()}\nThe end."
+    assert main_text("<article><p>one<span class=ad>buy</span>two</p></article>") == "one two"

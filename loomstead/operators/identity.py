@@ -75,6 +75,13 @@ def candidate_pairs(found: DataFrame) -> DataFrame:
     return own.withColumnRenamed("key", "a").join(own.withColumnRenamed("key", "b"), "block").where("a < b").select("a", "b").distinct()
 
 
+def stated_pairs(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of surfaces that a hard link binds, whatever blocks they are in."""
+    name, email = F.concat(F.lit("name:"), "name"), F.concat(F.lit("email:"), "email")
+    pairs = links.select(F.least(name, email).alias("a"), F.greatest(name, email).alias("b")).distinct()
+    return pairs.join(found.select(F.col("key").alias("a")), "a", "left_semi").join(found.select(F.col("key").alias("b")), "b", "left_semi").select("a", "b")
+
+
 def dropped_blocks(found: DataFrame, limit: int = 10) -> DataFrame:
     """The largest blocks that are left out, for the report."""
     return blocks(found).where(F.col("n") > MOST_IN_BLOCK).select("block", "n").distinct().orderBy(F.desc("n"), "block").limit(limit)

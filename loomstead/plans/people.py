@@ -35,6 +35,10 @@ class World:
     def scores(self):
         return I.scored(self.pairs(), self.working, self.links)
 
+    def all_scores(self):
+        """Of the stated pairs too, which the SQL of the other queries doesn't have."""
+        return I.scored(self.pairs().union(I.stated_pairs(self.working, self.links)).distinct(), self.working, self.links)
+
 
 def surface_counts(spark, sf):
     return World(spark, sf).surfaces.select("key", "count", "documents", "orgs")
@@ -70,7 +74,7 @@ def components(spark, sf):
 
 def entities(spark, sf):
     w = World(spark, sf)
-    return I.canonical(I.entities(w.scores(), w.working), w.working)
+    return I.canonical(I.entities(w.all_scores(), w.working), w.working)
 
 
 def priors_home(spark, sf):

@@ -1,4 +1,10 @@
-"""Connected components of a table of links by alternating large-star and small-star steps; nothing is gathered in one place."""
+"""Connected components of a table of links by contraction; nothing is gathered in one place.
+
+Within each partition a union-find leaves a forest of stars. While more than ``FEW`` links are left, each node moves to the
+first of itself and its neighbours by the order of a hash, links are renamed by that and shrink by a constant share, whatever
+their shape; a bounded rest is finished in one task. Joins have unique keys on one side, so a node with very many links can
+be split between tasks.
+"""
 
 from __future__ import annotations
 
@@ -9,49 +15,77 @@ from pyspark.sql import functions as F
 
 from .runtime import stored
 
+#: So many links at most are left to one task, 16 bytes each.
+FEW = 200_000
+#: Links that a task takes in at once, and stars that it carries along.
+AT_ONCE, CARRIED = 1_000_000, 500_000
 
-def _forest(batches):
-    """Union-find within a partition: a spanning forest, each node linked to the smallest of its tree."""
-    parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links but the smallest of its tree, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = parent[parent]
+            if (further == parent).all():
+                break
+            parent = further
+    below = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[below], nodes[parent[below]]
 
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            u, v = root(u), root(v)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-        if len(parent) > 500_000:  # what is known so far goes out; memory stays bounded
-            yield _stars(parent, root)
-            parent.clear()
-    yield _stars(parent, root)
 
+def _forest(batches):
+    """Union-find within a partition; what is known goes out when it gets large, so memory stays bounded."""
+    have, size = [], 0
+
+    def told(pair) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
 
-def _stars(parent, root) -> pa.RecordBatch:
-    found = np.array([(x, r) for x in list(parent) if (r := root(x)) != x], np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+    for b in batches:
+        have.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)])
+        size += b.num_rows
+        if size >= AT_ONCE:
+            pair = stars(*map(np.concatenate, zip(*have, strict=True)))
+            if len(pair[0]) > CARRIED:
+                yield told(pair)
+                have, size = [], 0
+            else:
+                have, size = [pair], len(pair[0])
+    if have:
+        yield told(stars(*map(np.concatenate, zip(*have, strict=True))))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (two columns of ids): the smallest id that it reaches.
 
     Links to itself count for nothing, repeated links count once, and an empty table gives an empty result.
     """
-    a, b = links.columns
-    edges = links.where(f"`{a}` <> `{b}`").select(F.col(f"`{a}`").cast("long").alias("u"), F.col(f"`{b}`").cast("long").alias("v"))
-    edges = stored(edges.mapInArrow(_forest, "u long, v long").distinct(), "links")
-    while True:
+    few = FEW if few is None else few
+    edge = "u long, v long"
+    own = links.select(*(F.col(f"`{c}`").cast("long").alias(n) for c, n in zip(links.columns, "uv", strict=True))).where("u <> v")
+    edges = stored(own.mapInArrow(_forest, edge), "links")
+    by_hash = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    moves = []
+    while edges.count() > few:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select("v", "m").union(least.where("u <> m").select("u", "m")).distinct().toDF("u", "v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select("v", "m").union(least.select("u", "m")).distinct().toDF("u", "v")
-        edges = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").limit(1).count():
-            break  # each node has one root and no root is below another: the links are stars
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(stars.select("component", "component").distinct())
+        move = stored(both.groupBy("u").agg(F.least(F.min(by_hash("v")), by_hash("u"))["node"].alias("to")), "moves")
+        moves.append(move)
+        at_u = edges.join(move, "u").select(F.col("to").alias("x"), "v")
+        at_v = at_u.join(move.select(F.col("u").alias("v"), F.col("to").alias("y")), "v")
+        edges = stored(at_v.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().mapInArrow(_forest, edge), "links")
+    rest = stored(edges.repartition(1).mapInArrow(_forest, edge), "rest")  # at most ``few`` links
+    found = rest.union(rest.select(F.col("v").alias("u"), "v").distinct()).toDF("node", "component")
+    if not moves:
+        return found
+    for move in reversed(moves):
+        found = move.join(found, F.col("to") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("component", "to").alias("component"))
+    found = stored(found, "labels")
+    return found.join(found.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))

@@ -6,6 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from loomstead.llm import near_dup
 from loomstead.llm.components import components
 from loomstead.llm.near_dup import linked, near_duplicates, super_minhash
 
@@ -46,6 +47,33 @@ def test_groups_are_those_of_brute_force(spark, k, p):
     assert got == groups(rows, k, p)
 
 
+@pytest.mark.parametrize(("docs_of_a_block", "pivots", "broadcast"), [(3, 1, 0), (7, 4, 500_000)])
+def test_large_clusters_lose_no_link(spark, monkeypatch, docs_of_a_block, pivots, broadcast):
+    """Clusters of many blocks, shuffled or broadcast: near copies of a few texts, and texts that share most words but are linked with nothing."""
+    monkeypatch.setattr(near_dup, "BROADCAST_MEMBERS", broadcast)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", docs_of_a_block)
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+    rnd = random.Random(docs_of_a_block)
+    rows, common = corpus(6, 160), [f"c{i}" for i in range(60)]
+    for i in range(120):  # 3 of 4 words are common
+        own = [f"o{i // 2}_{j}" for j in range(20)]
+        own[rnd.randrange(20)] = f"y{i}"
+        rows.append((5000 + i, " ".join(common + own)))
+    asked = []
+    monkeypatch.setattr(near_dup, "_rare_clusters", lambda *a, f=near_dup._rare_clusters: asked.append(1) or f(*a))
+    for k, p in ((3, 85), (5, 80)):
+        got = {r.doc_id: tuple(r)[1:] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, Fraction(p, 100)).collect()}
+        assert got == groups(rows, k, p)
+    assert asked
+
+
+def test_very_long_text_and_text_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [("1", long), ("2", long + " end"), ("x", long), ("3", "a b c")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (None, None, True), (3, 3, True)}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (9, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
@@ -86,6 +114,13 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+@pytest.mark.parametrize("few", [0, 5, 100])
+def test_components_by_contraction(spark, few):
+    links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(3000 - i, 2999 - i) for i in range(0, 90, 3)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long").repartition(5), few).collect()))
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1200)} | {j: 2999 - i for i in range(0, 90, 3) for j in (3000 - i, 2999 - i)}
+
+
 def test_components_of_random_links(spark):
     rnd = random.Random(9)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)]

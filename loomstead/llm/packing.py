@@ -11,6 +11,7 @@ carried.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -25,23 +26,35 @@ from .text import pieces, utf8
 
 ROOM = 2048
 #: About so many pieces share a (length, salt) group at most.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 2000
 #: Words that a worker remembers: about 200 bytes each.
-KNOWN = 600_000
+KNOWN = 100_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Tokens:
     """Ids of texts as bytes of 32-bit little-endian numbers; words between ASCII white space are encoded apart, and remembered.
 
-    That gives the ids of the whole text: the vocabulary's splitter never joins what white space parts. Words of letters,
-    perhaps with punctuation behind, go straight to the BPE model; all others through the whole tokenizer.
+    That gives the ids of the whole text where the splitter never joins what white space parts, as with ``PLAN``; a tokenizer
+    made otherwise gets whole texts. Words of letters, perhaps with punctuation behind, go straight to the BPE model; all
+    others through the whole tokenizer.
     """
 
+    # How a tokenizer is made whose words can be encoded apart.
+    PLAN = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    }
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        made = json.loads(self.whole.to_str())
+        self.apart = all(made[k] == v for k, v in self.PLAN.items()) and made["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in made["added_tokens"])
         self.model = self.whole.model
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
@@ -80,6 +93,8 @@ class Tokens:
         return ids
 
     def ids(self, text: bytes) -> bytes:
+        if not self.apart:
+            return self._plain(text.decode())
         chunks, known = text.split(), self.known
         for c in set(chunks).difference(known):
             known[c] = self.word(c)
@@ -174,10 +189,10 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_i
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of ``docs``."""
     ship(docs.sparkSession)
     cuts = stored(cut(need(docs, id=id_col, text=text_col), tokenizer, room), "pieces")
-    salts = max(1, cuts.count() // GROUP_ROWS)
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
+    counts = dict(map(tuple, cuts.groupBy("length").agg(F.count("*")).collect()))  # at most ``room`` rows
+    salts = docs.sparkSession.createDataFrame([(k, -(-n // GROUP_ROWS)) for k, n in counts.items()], "length long, salts long")
+    salted = cuts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     groups = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
-    counts = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("n")).collect()}  # at most ``room`` rows
     runs, _ = best_fit(counts, room)
     keys, bases, places = (runs[:, 0] << 40) + runs[:, 1], runs[:, 2] - runs[:, 1], runs[:, 3]
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

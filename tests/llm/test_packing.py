@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -5,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from loomstead.llm import packing
 from loomstead.llm.packing import Tokens, best_fit, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +18,21 @@ def test_ids_are_those_of_the_whole_text(text):
     assert np.frombuffer(Tokens(PATH).ids(text.encode()), np.uint32).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+def test_another_tokenizer_gets_whole_texts(tmp_path):
+    """One that keeps capitals and knows a token with a space."""
+    made = json.loads(Tokenizer.from_file(PATH).to_str())
+    made["normalizer"] = None
+    made["added_tokens"].append({**made["added_tokens"][0], "id": len(made["model"]["vocab"]) + 5, "content": "two words"})
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    text = "Some TEXT of two words and more"
+    assert np.frombuffer(Tokens(str(tmp_path / "t.json")).ids(text.encode()), np.uint32).tolist() == Tokenizer.from_file(str(tmp_path / "t.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_a_frequent_length_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 5)
+    test_round_trip(spark, [(i % 50, "x y") for i in range(90)] + [(None, "x y")])
+
+
 def test_plan_is_whole_and_close_to_the_bound():
     rng = np.random.default_rng(1)
     counts = {int(k): int(v) for k, v in zip(*np.unique(np.minimum(rng.lognormal(5, 1, 5000).astype(int) + 1, 100), return_counts=True))}

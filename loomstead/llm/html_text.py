@@ -4,9 +4,11 @@ Markup is stripped into lines, one for each block of the page. Lines of menus, h
 adverts, forms, scripts, styles and reader comments, known by their elements, roles and class names, are blanked. Each
 blanked element leaves a gap of blank lines, but adverts, forms and notices leave none, as they may stand anywhere in a text.
 Over the lengths of the lines, sums over windows of ``WINDOW`` lines rise from zero at a surge point and fall to zero at a
-dive point, and the run between is accepted if the sum somewhere reaches a threshold: one character inside an ``article`` or
-``main`` element, where nothing may be lost, and ``SURGE`` on a page without either. There lines that are mostly links count
-nothing. The text goes from the first accepted run to the last, with every line between that isn't blanked.
+dive point, and the run between is accepted if the sum somewhere reaches ``SURGE`` (or the page's largest, if that is less).
+Where a page has ``article`` or ``main`` elements with text, runs in those are looked at, and an element with an accepted run
+is kept from end to end, so that nothing of an article is lost; one without is left out, unless it stands between two that
+have one. On other pages lines that are mostly links count nothing, and the text goes from the first accepted run to the
+last, with every line between that isn't blanked.
 
 Defined cases: null or empty pages and pages without text give an empty text; cut-off pages are read to their end, an
 unfinished tag being markup; unknown character references stay as they are. Repeated rows are extracted alike. The whole
@@ -141,15 +143,15 @@ def _ends(tokens: list[tuple[str, bool, str, str]]) -> tuple[list[int], list[int
     return ends, parents
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
-    """The page's lines, blanked where they aren't of the article, and whether each is in the page's article and mostly links."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
+    """The page's lines, blanked where they aren't of the article, the number of the article that each is in (or 0), and whether it is mostly links."""
     tokens = _tokens(page)
     ends, parents = _ends(tokens)
     headings = [i for i, t in enumerate(tokens) if t[0] in HEADINGS and not t[1]]
     holders = [i for i, t in enumerate(tokens) if t[0] in HOLDERS and not t[1]]
     holds = lambda i, marks: any(i < m < ends[i] for m in marks)
     dropped, until = [False] * len(tokens), -1
-    inside, inside_until = [False] * len(tokens), -1
+    inside, inside_until, inside_of = [0] * len(tokens), -1, 0
     inset, inset_ends, small = [False] * len(tokens), set(), False
     for i, (name, closes, attributes, _) in enumerate(tokens):
         if i >= until and name and not closes:
@@ -166,9 +168,9 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
         dropped[i] = i < until
         inset[i] = dropped[i] and small
         if i >= inside_until and name in HOLDERS and not closes and not dropped[i]:
-            inside_until = ends[i]
-        inside[i] = i < inside_until
-    lines, article, links = [""], [False], [0]
+            inside_until, inside_of = ends[i], inside_of + 1
+        inside[i] = inside_of if i < inside_until else 0
+    lines, article, links = [""], [0], [0]
     linked = 0
     for i, (name, closes, _, text) in enumerate(tokens):
         if name == "a":
@@ -209,17 +211,21 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, article, linked = lines_of(page)
+    of = np.array(article)
     named = any(a and c for a, c in zip(article, lines, strict=True))
     size = np.array([len(c) if a or not named and not l else 0 for c, a, l in zip(lines, article, linked, strict=True)])
     padded = np.concatenate([np.zeros(WINDOW - 1, np.int64), size, np.zeros(WINDOW - 1, np.int64)])
     total = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")  # total[i]: the window that ends with line i
     filled = np.concatenate([[0], (total > 0).astype(np.int64), [0]])
     surges, dives = np.flatnonzero(np.diff(filled) > 0), np.flatnonzero(np.diff(filled) < 0)
-    least = 1 if named else min(SURGE, int(total.max(initial=0)))
-    runs = [(a, b) for a, b in zip(surges, dives, strict=True) if total[a:b].max() >= least]
+    least = max(1, min(SURGE, int(total.max(initial=0))))
+    runs = [(a, min(b, len(lines))) for a, b in zip(surges, dives, strict=True) if total[a:b].max() >= least]
     if not runs:
         return ""
-    first, last = runs[0][0], min(runs[-1][1], len(lines))
+    first, last = runs[0][0], runs[-1][1]
+    if named:
+        whole = np.flatnonzero(np.isin(of, np.unique(np.concatenate([of[a:b] for a, b in runs]))) & (of > 0))
+        first, last = whole[0], whole[-1] + 1
     return "\n".join(lines[i] for i in range(first, last) if lines[i] and (size[i] or not named))
 
 

@@ -1,8 +1,9 @@
 import re
+from html.parser import HTMLParser
 
 import pytest
 
-from loomstead.llm.html_text import extract, main_text
+from loomstead.llm.html_text import BLOCK, CLASSES, DROPPED, FRAME, RAW, VOID, extract, main_text
 
 SF = "/root/testdata/sf0.01"
 PAGES = [
@@ -81,3 +82,56 @@ def test_nothing_between_accepted_runs_is_lost(inner, kept):
 def test_an_advert_at_the_edge_parts_nothing():
     assert main_text(f"<h2>Head</h2>{AD}<p>{LONG}</p>{AD}<p>The end.</p><footer>(c) us</footer>") == f"Head\n{LONG.strip()}\nThe end."
     assert main_text("<article><p>one<span class=ad>buy</span>two</p></article>") == "one two"
+
+
+class Slow(HTMLParser):
+    """A plain reading of a well-formed page: what stands in its article, without the named parts."""
+
+    def __init__(self, holders=("article", "main")):
+        super().__init__(convert_charrefs=True)
+        self.holders, self.open, self.lines = holders, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        words = {w.lower() for k in ("class", "id") for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", dict(attrs).get(k) or "")}
+        away = tag in DROPPED | RAW or tag not in self.holders and bool(words & CLASSES) and not words & FRAME
+        if tag in BLOCK:
+            self.lines.append("")
+        if tag == "br":
+            self.lines[-1] += " "
+        if tag not in VOID:
+            self.open.append((tag, away))
+
+    def handle_endtag(self, tag):
+        if tag in BLOCK:
+            self.lines.append("")
+        while self.open and any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if any(t in self.holders for t, _ in self.open) and not any(away for _, away in self.open):
+            self.lines[-1] += data
+
+
+def slow(page):
+    parser = Slow()
+    parser.feed(page)
+    parser.close()
+    return "\n".join(filter(None, (" ".join(x.split()) for x in parser.lines)))
+
+
+def test_table_against_a_plain_reading(spark):
+    html = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    same = [main_text(x) == slow(x) for x in html]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def test_the_distribution_finds_the_text_without_article_elements(spark):
+    html = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(120).collect()]
+    bare = [re.sub(r"</?(article|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", x) for x in html]
+    assert sum(main_text(a) == main_text(b) for a, b in zip(html, bare)) >= 0.97 * len(html)
+
+
+def test_window_sums_choose_among_articles():
+    cards = "".join(f"<article><h2>Card {i}</h2></article>" for i in range(3))
+    assert main_text(f"<article><h1>T</h1><p>{LONG}</p><p>end</p></article><div>{cards}</div>") == f"T\n{LONG.strip()}\nend"
+    assert main_text("<article><p>A</p></article>") == "A"

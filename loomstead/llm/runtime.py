@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import tempfile
 import threading
 import uuid
@@ -17,30 +18,46 @@ PACKAGE = Path(__file__).resolve().parent.parent
 _lock = threading.Lock()
 _folders: dict[str, str] = {}
 _shipped: set[str] = set()
+_tables: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder under ``spark.checkpoint.dir`` for this application; a temporary one only where that is unset."""
+    """A folder under ``spark.checkpoint.dir`` for this application; a temporary one only where that is unset and all runs in one process."""
     sc = spark.sparkContext
     with _lock:
         if sc.applicationId not in _folders:
             root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+            if not root and not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             if not root:
                 root = "file://" + tempfile.mkdtemp(prefix="loomstead-")
                 sc.setCheckpointDir(root)
             _folders[sc.applicationId] = f"{root}/loomstead-{uuid.uuid4().hex}"
-            atexit.register(_remove, spark, _folders[sc.applicationId])
+            atexit.register(_remove, spark, sc.applicationId)
         return _folders[sc.applicationId]
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def _remove(spark: SparkSession, app: str) -> None:
+    """Drops this application's scratch tables and its folder; also to be called by who ends the session earlier."""
+    folder = _folders[app]
     try:
+        for name in _tables.pop(app, []):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # noqa: BLE001  the session may have ended already
         pass
 
 
+def scratch_table(spark: SparkSession) -> str:
+    """A name for a table of the catalog that goes with this application's folder."""
+    name = f"loomstead_{uuid.uuid4().hex}"
+    shared_folder(spark)
+    with _lock:
+        _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession

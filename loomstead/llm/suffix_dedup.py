@@ -4,7 +4,7 @@ This departs from a full merge of shard Burrows-Wheeler transforms: no shard's t
 folding of equal texts comes before the refinement. The README says why.
 
 1. Documents are stored in chunks of about ``CHUNK`` bytes, in a table bucketed by chunk, so that later joins by chunk move
-   no text. A chunk cuts its windows into runs that share a minimizer (the least hash of a 16-byte string in the window).
+   no text. A chunk cuts its windows into runs that share a minimizer (the least hash of a ``GRAM``-byte string in the window).
 2. Minimizers that occur in one document only can't stand in a repeated window; all others are told to the chunks.
 3. A chunk sends the distinct texts of its runs with repeated minimizers, with their smallest and largest document, to the
    bucket of the minimizer: equal windows always meet there.
@@ -17,13 +17,12 @@ folding of equal texts comes before the refinement. The README says why.
 Repeated texts are folded before each shuffle (within a chunk, then within a bucket), so copies cost no more than chunks.
 
 Defined cases: null texts are empty; rows with a null id neither lose bytes nor take bytes from others; rows that share an
-id don't take from each other; texts under WINDOW bytes lose nothing; an empty table gives an empty result. Extra columns
+id don't take from each other; ids are whole numbers, and a text id that isn't one counts as null; texts under WINDOW bytes lose nothing; an empty table gives an empty result. Extra columns
 are not carried.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import need, shared_folder, ship, shuffle_width, stored, table
+from .runtime import need, scratch_table, shared_folder, ship, shuffle_width, stored, table
 from .text import _BYTE, U, utf8
 
-WINDOW, GRAM = 50, 16
+#: A longer string is less often repeated by chance, but makes shorter runs.
+WINDOW, GRAM = 50, 24
 CHUNK = 8 << 20
 #: Bytes of documents for each bucket of minimizers.
 BUCKET = 16 << 20
 _SLICE = 1 << 17
-_FACTORS = [U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F), U(0xA24BAED4963EE407)]
+_FACTORS = [U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F), U(0xA24BAED4963EE407), U(0x8EBC6AF09C88C6E3)]
 _TABLE = _BYTE.copy()
 for _b in (0x20, *range(0x09, 0x0E)):
     _TABLE[_b] = 0x8EBC6AF09C88C6E3 * (2 * _b + 1) % 2**64
@@ -70,8 +70,11 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         b = min(a + _SLICE, n - WINDOW + 1)
         with np.errstate(over="ignore"):
             h = _TABLE[buf[a : b + WINDOW - 1]]
-            for step, factor in zip((1, 2, 4, 8), _FACTORS, strict=True):
+            for step, factor in zip((1, 2, 4), _FACTORS, strict=False):
                 h = h[:-step] * factor + h[step:]
+            eight = h  # hashes of 8 bytes, then of 16 and of 24
+            h = h[:-8] * _FACTORS[3] + h[8:]
+            h = h[:-8] * _FACTORS[4] + eight[16:]
             h ^= h >> U(29)
             h *= U(0xBF58476D1CE4E5B9)
             h ^= h >> U(32)
@@ -360,12 +363,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     carried = {f"carried_{i}": c for i, c in enumerate(carry)}
-    docs = need(docs, id=id_col, text=text_col, **carried).withColumn("id", F.col("id").cast("long"))
+    docs = need(docs, id=id_col, text=text_col, **carried).withColumn("id", F.expr("try_cast(id AS bigint)"))
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     chunks = docs.mapInArrow(_chunked(chunk_bytes), f"id long, text string{kinds}, chunk long")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(shuffle_width(spark), -(-total // BUCKET))
-    name = f"loomstead_{uuid.uuid4().hex}"
+    name = scratch_table(spark)
     chunks.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
     plain = chunks.select("id", "text", "chunk")

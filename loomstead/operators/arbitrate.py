@@ -66,6 +66,11 @@ def fold(values: Column) -> Column:
     return F.map_from_entries(F.aggregate(in_order, F.array().cast(kind), step))
 
 
+def foldable(values: Column) -> Column:
+    """Whether some value is a part of another: a plain search of strings, without patterns."""
+    return (F.size(values) > 1) & F.exists(values, lambda x: F.exists(values, lambda y: (F.length(x) < F.length(y)) & F.contains(y, x)))
+
+
 def day(date: Column) -> Column:
     """A day count for gaps; null unless the text is a date."""
     part = lambda a, n: F.substring(date, a, n).cast("int")
@@ -76,8 +81,10 @@ def trusted(claims: DataFrame, folding: bool = True) -> DataFrame:
     """``claims`` with subject_key, value_key (folded), holders (claims of that value) and trust."""
     own = Window.partitionBy(*GROUP)
     df = claims.withColumn("subject_key", subject_key(F.col("subject"))).withColumn("value_key", value_key(F.col("object_value")))
-    if folding:
-        df = df.withColumn("value_key", F.element_at(fold(F.collect_set("value_key").over(own)), F.col("value_key")))
+    if folding:  # once a group, on one of its claims, and only where some value stands inside another
+        df = df.withColumn("values", F.collect_set("value_key").over(own)).withColumn("first", F.row_number().over(own.orderBy("claim_id")) == 1)
+        df = df.withColumn("folded", F.when(F.col("first") & foldable(F.col("values")), fold(F.col("values")))).drop("values", "first")
+        df = df.withColumn("folded", F.first("folded", ignorenulls=True).over(own)).withColumn("value_key", F.coalesce(F.element_at("folded", F.col("value_key")), "value_key")).drop("folded")
     df = df.withColumn("holders", F.count("*").over(Window.partitionBy(*GROUP, "value_key"))).withColumn("day", day(F.col("asserted_at")))
     low, high = F.min("day").over(own), F.max("day").over(own)
     newness = F.when(low.isNull() | (low == high), 1.0).when(F.col("day").isNull(), 0.5).otherwise((F.col("day") - low) / (high - low))
@@ -154,6 +161,11 @@ def disagreement_map(found: DataFrame, limit: int = 40, predicate: str | None =
     return found.orderBy(F.desc("weight"), "key").limit(limit)
 
 
+def abstains(arbitrated: DataFrame) -> DataFrame:
+    """(scope, abstains): whether some group of a scope has competing values and no decision."""
+    return arbitrated.groupBy("scope").agg(F.max((F.col("sides") > 1) & ~F.col("decided")).alias("abstains"))
+
+
 def disagreement_sides(arbitrated: DataFrame) -> DataFrame:
     """Every claim of every disagreement with its side, sides in the order of their best trust."""
     ok = arbitrated.where("sides > 1").withColumn("two", F.size(F.collect_set("doc_id").over(Window.partitionBy(*GROUP)))).where("two >= 2")

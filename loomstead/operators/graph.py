@@ -44,6 +44,21 @@ def documents_for(edges: DataFrame, seeds: DataFrame, each: int, limit: int) ->
     return round_robin(near.select("list", "rank", "doc_id")).limit(limit)
 
 
+def scopes(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """(qid, doc_id, place) of seeds (qid, list, key) by edges (key, doc_id): for each question its lists in turn, a document once, up to ``limit``."""
+    near = edges.select("key", "doc_id").distinct().join(seeds, "key")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "list").orderBy("doc_id"))).where(F.col("rank") <= limit)
+    return in_turn(near.select("qid", "list", "rank", "doc_id"), limit)
+
+
+def in_turn(lists: DataFrame, limit: int) -> DataFrame:
+    """(qid, doc_id, place) of (qid, list, rank, doc_id): for each question all first ones in the order of the lists, then all second ones."""
+    first = Window.partitionBy("qid", "doc_id").orderBy("rank", "list")
+    once = lists.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "list", "doc_id")).cast("bigint")
+    return once.withColumn("place", place).where(F.col("place") <= limit).select("qid", "doc_id", "place")
+
+
 def entities_for(edges: DataFrame, docs: DataFrame, each: int) -> DataFrame:
     """Entities of the documents (doc_id), at most ``each`` for a document, with how many of the documents name them."""
     near = edges.join(docs.select("doc_id").distinct(), "doc_id").select("eid", "doc_id").distinct()
@@ -51,6 +66,36 @@ def entities_for(edges: DataFrame, docs: DataFrame, each: int) -> DataFrame:
     return near.groupBy("eid").agg(F.count_distinct("doc_id").alias("documents"))
 
 
+def connected(edges: DataFrame, found: DataFrame, first: int, each: int) -> DataFrame:
+    """(qid, eid, documents, place): who the first ``first`` documents of each question (qid, doc_id, place) name, most documents first, then who comes first."""
+    own = Window.partitionBy("qid").orderBy("place")
+    few = found.withColumn("at", F.row_number().over(own)).where(F.col("at") <= first).select("qid", "doc_id", "at")
+    near = edges.select("eid", "doc_id").distinct().join(few, "doc_id")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("eid"))).where(F.col("n") <= each)
+    people = near.groupBy("qid", "eid").agg(F.count_distinct("doc_id").alias("documents"), F.min("at").alias("seen"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("documents"), "seen", "eid")).cast("bigint")
+    return people.select("qid", "eid", "documents", place.alias("place"))
+
+
+def denoted_by(text: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Texts (text) with the entities that they denote in aliases (surface, eid), and how many those are."""
+    low = aliases.select(F.lower(F.trim("surface")).alias("text"), "eid").distinct()
+    many = F.count("*").over(Window.partitionBy("text"))
+    return text.select(F.lower(F.trim("text")).alias("text")).distinct().join(low, "text").withColumn("entities", many)
+
+
+def surfaces_of(aliases: DataFrame, entities: DataFrame) -> DataFrame:
+    """(eid, form, kind): every written form of the entities, one row for each kind."""
+    return aliases.join(entities.select("eid").distinct(), "eid", "left_semi").select("eid", F.lower(F.trim("surface")).alias("form"), "kind").distinct()
+
+
+def aliases_of(aliases: DataFrame, entities: DataFrame, limit: int = 8) -> DataFrame:
+    """(eid, place, surface, kind, score, signals): the ``limit`` most frequent forms of each entity and what speaks for them."""
+    own = aliases.join(entities.select("eid").distinct(), "eid", "left_semi")
+    place = F.row_number().over(Window.partitionBy("eid").orderBy(F.desc("occurrences"), "surface", "kind")).cast("bigint")
+    return own.withColumn("place", place).where(F.col("place") <= limit).select("eid", "place", "surface", "kind", "score", "signals")
+
+
 def together(edges: DataFrame, pairs_of: DataFrame) -> DataFrame:
     """Documents that join two of the given entities (eid)."""
     own = edges.join(pairs_of.select("eid").distinct(), "eid").select("eid", "doc_id").distinct()

@@ -9,32 +9,57 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import handle_tokens, is_email, looks_like_handle, looks_like_person_name, name_tokens, norm_name
+from .priors import domain_label
+from ..sources.store import ship
+
+#: The organisation of all addresses at home.
+HOME = "home"
 # Limits and weights of evidence.
 MOST_IN_BLOCK, FEWEST, THRESHOLD = 240, 5, 0.70
 WEIGHTS = {"STATED_BINDING": 0.99, "LOCAL_EQUALS_NAME": 0.95, "HANDLE_EQUALS_LOCAL": 0.90, "HANDLE_EQUALS_NAME": 0.88, "NAME_EQUALS_NAME": 0.88, "INITIAL_SURNAME": 0.72, "ABBREVIATED_NAME": 0.72, "UNIQUE_GIVEN_NAME": 0.75}
 
 
-def name_tokens(value: Column) -> Column:
-    return F.filter(F.split(F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}\s'-]+", " ")), r"\s+"), lambda t: t != "")
-
+def minded(occurrences: DataFrame, qualifiers: Column | None = None) -> DataFrame:
+    """Occurrences (kind, value, ...) that have the shape of their kind, names in their normal form; a name that isn't one may still be a handle."""
+    name = looks_like_person_name(F.col("value"), qualifiers)
+    kind = F.when((F.col("kind") == "name") & ~name, "handle").otherwise(F.col("kind"))
+    value = F.when(F.col("kind") == "name", norm_name(F.col("value"), qualifiers)).otherwise(F.lower(F.trim("value")))
+    out = occurrences.withColumn("kind", kind).withColumn("value", value)
+    return out.where(F.when(F.col("kind") == "email", is_email(F.col("value"))).when(F.col("kind") == "handle", looks_like_handle(F.col("value"))).otherwise(F.lit(True)))
 
-def handle_tokens(value: Column) -> Column:
-    """Of a handle or the local part of an address: digits dropped, split at . _ - and spaces."""
-    return F.filter(F.split(F.regexp_replace(F.lower(value), "[0-9]+", ""), r"[._\-\s]+"), lambda t: t != "")
 
+def surfaces(seen: DataFrame, home: DataFrame | None = None, functional: DataFrame | None = None, qualifiers: Column | None = None) -> DataFrame:
+    """Occurrences (kind, value, org, doc_id) to surfaces with their counts, documents, organisation and tokens.
 
-def surfaces(seen: DataFrame) -> DataFrame:
-    """Occurrences (kind, value, org, doc_id) to surfaces with their counts, documents and tokens."""
+    An address belongs to the organisation of its domain; those in ``home`` (label) are one. Mailboxes in ``functional`` (local)
+    are marked.
+    """
     low = seen.withColumn("value", F.lower(F.trim("value")))
     found = low.groupBy("kind", "value").agg(F.count("*").alias("count"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("org").alias("orgs"), F.min("org").alias("org"))
     local = F.substring_index("value", "@", 1)
-    tokens = F.when(F.col("kind") == "name", name_tokens(F.col("value"))).when(F.col("kind") == "email", handle_tokens(local)).otherwise(handle_tokens(F.col("value")))
-    return found.withColumn("key", F.concat_ws(":", "kind", "value")).withColumn("org", F.when(F.col("kind") == "email", F.regexp_extract("value", r"@([^.]+)", 1))).withColumn("tokens", tokens)
+    tokens = F.when(F.col("kind") == "name", name_tokens(F.col("value"), qualifiers)).otherwise(handle_tokens(F.when(F.col("kind") == "email", local).otherwise(F.col("value")), qualifiers))
+    found = found.withColumn("key", F.concat_ws(":", "kind", "value")).withColumn("tokens", tokens)
+    found = found.withColumn("org", F.when(F.col("kind") == "email", domain_label(F.col("value")))).withColumn("local", F.when(F.col("kind") == "email", local))
+    if home is not None:
+        found = found.join(home.select(F.col("label").alias("org")).distinct().withColumn("at_home", F.lit(True)), "org", "left")
+        found = found.withColumn("org", F.when(F.col("at_home"), HOME).otherwise(F.col("org"))).drop("at_home")
+    if functional is None:
+        return found.withColumn("is_functional", F.lit(False)).drop("local")
+    found = found.join(functional.select("local").distinct().withColumn("f", F.lit(True)), "local", "left")
+    return found.withColumn("is_functional", F.coalesce("f", F.lit(False))).drop("local", "f")
+
+
+def counted_by(seen: DataFrame, by: str) -> DataFrame:
+    """(key, by, count) of occurrences: how often each surface comes from each source or stands with each organisation."""
+    key = F.concat_ws(":", "kind", F.lower(F.trim("value")))
+    return seen.where(F.coalesce(F.col(by), F.lit("")) != "").groupBy(key.alias("key"), by).agg(F.count("*").alias("count"))
 
 
 def hard_links(bindings: DataFrame) -> DataFrame:
@@ -42,14 +67,24 @@ def hard_links(bindings: DataFrame) -> DataFrame:
     return bindings.select(F.lower("name").alias("name"), F.lower("email").alias("email")).groupBy("name", "email").agg(F.count("*").alias("times"))
 
 
-def shared_mailboxes(links: DataFrame) -> DataFrame:
-    return links.groupBy("email").agg(F.count_distinct("name").alias("names")).where("names > 1")
+def shared_mailboxes(links: DataFrame, functional: DataFrame | None = None) -> DataFrame:
+    """(email, names): addresses bound to several names, and, whatever is bound to them, those whose mailbox is in ``functional`` (local)."""
+    bound = links.groupBy("email").agg(F.count_distinct("name").alias("names"))
+    if functional is None:
+        return bound.where("names > 1")
+    of_all = functional.select("local").distinct().withColumn("f", F.lit(True))
+    return bound.withColumn("local", F.substring_index("email", "@", 1)).join(of_all, "local", "left").where("names > 1 OR f").select("email", "names")
+
 
+def exclusive_links(links: DataFrame, functional: DataFrame | None = None) -> DataFrame:
+    return links.join(shared_mailboxes(links, functional), "email", "left_anti").select(*links.columns)
 
-def working_set(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Surfaces seen often, or bound by a link that isn't shared; shared mailboxes are out."""
-    shared = shared_mailboxes(links).select(F.concat(F.lit("email:"), "email").alias("key"))
-    own = links.join(shared_mailboxes(links), "email", "left_anti")
+
+def working_set(found: DataFrame, links: DataFrame, functional: DataFrame | None = None) -> DataFrame:
+    """Surfaces seen often, or bound by a link that isn't shared; shared and functional mailboxes are out."""
+    shared = shared_mailboxes(links, functional).select(F.concat(F.lit("email:"), "email").alias("key"))
+    shared = shared.union(found.where("is_functional").select("key")).distinct()
+    own = exclusive_links(links, functional)
     bound = own.select(F.concat(F.lit("name:"), "name").alias("key")).union(own.select(F.concat(F.lit("email:"), "email"))).distinct().withColumn("bound", F.lit(True))
     return found.join(shared, "key", "left_anti").join(bound, "key", "left").where((F.col("count") >= FEWEST) | F.col("bound")).drop("bound")
 
@@ -69,8 +104,10 @@ def blocks(found: DataFrame) -> DataFrame:
     return own.join(own.groupBy("block").agg(F.count("*").alias("n")), "block")
 
 
-def candidate_pairs(found: DataFrame) -> DataFrame:
-    """Pairs of surfaces in a block of 2 to MOST_IN_BLOCK: a bounded self-join on the block."""
+def candidate_pairs(found: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Pairs of surfaces in a block of 2 to MOST_IN_BLOCK, a bounded self-join on the block, and those that a link binds, whatever their blocks."""
+    if links is not None:
+        return candidate_pairs(found).union(stated_pairs(found, links)).distinct()
     own = blocks(found).where(F.col("n").between(2, MOST_IN_BLOCK)).select("block", "key")
     return own.withColumnRenamed("key", "a").join(own.withColumnRenamed("key", "b"), "block").where("a < b").select("a", "b").distinct()
 
@@ -134,10 +171,14 @@ def scored(pairs: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a temporary one only where none is named."""
+    """A reliable checkpoint in the cluster's shared folder; a temporary one only where none is named and all runs in one process."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstead-"))
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomstead-"))
     return df.checkpoint()
 
 
@@ -193,6 +234,7 @@ def cluster(pairs: pd.DataFrame) -> pd.DataFrame:
 
 def entities(scores: DataFrame, found: DataFrame) -> DataFrame:
     """(key, entity, refused) of every surface: components of the pairs over the threshold, clustered one by one."""
+    ship(scores.sparkSession)
     strong = scores.where(F.col("score") >= THRESHOLD)
     part = minimum_labels(strong.select("a", "b"))
     org = found.select("key", "org")
@@ -201,10 +243,68 @@ def entities(scores: DataFrame, found: DataFrame) -> DataFrame:
     return found.select("key").join(own, "key", "left").select("key", F.coalesce("entity", "key").alias("entity"), F.coalesce("refused", F.lit(0)).cast("bigint").alias("refused"))
 
 
-def canonical(clustered: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each entity: its name (most frequent, then longest, of two tokens or more; else the most frequent form), forms and occurrences, numbered by occurrences."""
+def accepted(scores: DataFrame, clustered: DataFrame) -> DataFrame:
+    """(entity, a, b, score, signals): evidence over the threshold between two surfaces of one entity."""
+    of = clustered.select("key", "entity")
+    both = scores.where(F.col("score") >= THRESHOLD).join(of.toDF("a", "entity"), "a").join(of.toDF("b", "other"), "b")
+    return both.where("entity = other").select("entity", "a", "b", "score", "signals")
+
+
+def canonical(clustered: DataFrame, found: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """One row for each entity, eid numbering them by occurrences.
+
+    Its name is the most frequent, then longest, of two tokens or more; else the best address's tokens; else the most frequent
+    form. Its confidence is its weakest evidence among ``merges``, or 1.
+    """
     both = clustered.join(found, "key")
-    named = F.when((F.col("kind") == "name") & (F.size("tokens") >= 2), 1).otherwise(0)
-    best = F.max_by("value", F.struct(named, "count", F.length("value"), "value"))
+    named, mail = (F.col("kind") == "name") & (F.size("tokens") >= 2), F.col("kind") == "email"
+    kind = F.when(named, 2).when(mail, 1).otherwise(0)
+    said = F.when(mail, F.array_join("tokens", " ")).otherwise(F.col("value"))
+    best = F.max_by(said, F.struct(kind, "count", F.length("value"), "value"))
     rows = both.groupBy("entity").agg(best.alias("name"), F.count("*").alias("forms"), F.sum("count").alias("occurrences"))
-    return rows.withColumn("number", F.row_number().over(Window.orderBy(F.desc("occurrences"), "entity")))
+    if merges is not None:
+        rows = rows.join(merges.groupBy("entity").agg(F.min("score").alias("confidence")), "entity", "left").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
+    return numbered(rows)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number`` and ``eid`` by occurrences, then entity: ranges of occurrences are sorted apart and begin where the ones before end."""
+    spark, width = rows.sparkSession, 64
+    edges = rows.select(F.percentile_approx("occurrences", [i / width for i in range(1, width)], 10_000)).first()[0] or []
+    edges = sorted(set(edges), reverse=True)
+    place = F.lit(len(edges))
+    for i, edge in reversed(list(enumerate(edges))):
+        place = F.when(F.col("occurrences") >= edge, i).otherwise(place)
+    # within a range, equal numbers of occurrences (most entities have one) are dealt out by the entity's first letters
+    rows = checkpointed(rows.withColumn("range", place).withColumn("part", F.rpad(F.left("entity", F.lit(8)), 8, " ")))
+    sizes = rows.groupBy("range", "occurrences", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("range").orderBy(F.desc("occurrences"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    totals = dict(map(tuple, sizes.groupBy("range").agg(F.sum("n")).collect()))  # at most ``width`` rows
+    begins, at = [], 0
+    for i in sorted(totals):
+        begins.append((i, at))
+        at += totals[i]
+    begins = spark.createDataFrame(begins, "range int, begin long")
+    own = Window.partitionBy("range", "occurrences", "part").orderBy("entity")
+    out = rows.withColumn("k", F.row_number().over(own)).join(inside.drop("n"), ["range", "occurrences", "part"]).join(F.broadcast(begins), "range")
+    number = (F.col("begin") + F.col("own") + F.col("k")).cast("bigint")
+    return out.withColumn("number", number).withColumn("eid", F.concat(F.lit("ent_"), F.lpad(number.cast("string"), 6, "0"))).drop("range", "part", "k", "own", "begin")
+
+
+def best_evidence(clustered: DataFrame, merges: DataFrame) -> DataFrame:
+    """(key, entity, score, signals) of each alias: its strongest evidence, or that it stands alone."""
+    sides = merges.select(F.col("a").alias("key"), "score", "signals").union(merges.select("b", "score", "signals"))
+    best = sides.groupBy("key").agg(F.max_by(F.struct("score", "signals"), F.struct("score", "signals")).alias("best"))
+    return clustered.join(best, "key", "left").select(
+        "key", "entity", F.coalesce("best.score", F.lit(1.0)).alias("score"), F.coalesce("best.signals", F.lit("SOLE_SURFACE")).alias("signals"))
+
+
+def diagnostics(found: DataFrame, working: DataFrame, pairs: DataFrame, scores: DataFrame, clustered: DataFrame) -> DataFrame:
+    """(stage, n): how many surfaces, candidates, scored pairs, merges and entities there are."""
+    counts = [
+        ("surfaces", found), ("working", working), ("pairs", pairs), ("scored", scores), ("strong", scores.where(F.col("score") >= THRESHOLD)),
+        ("entities", clustered.select("entity").distinct()),
+    ]
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n") for stage, df in counts]
+    return reduce(DataFrame.union, parts)

@@ -1,7 +1,9 @@
 """Retrieval over an inverted index: document-frequency filtered BM25, scoped ranking, passages and metadata reranking.
 
 Questions are a table (qid, question). A question's terms are filtered through document frequencies before they meet the
-postings, so common words never read theirs.
+postings, so common words never read theirs. A compound (``audit-log``, ``p99.9``) is one term of a question: it stands in a
+document where its parts stand one behind another. With ``stems`` terms are compared by Porter's stems, which are looked up
+once for each distinct term.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.porter import stemmed
+from ..functions.text import extract_all, tokens
 from .arbitrate import rounded
 
 # BM25 as published, column weights, and limits of term selection.
@@ -18,16 +21,51 @@ TITLE_WEIGHT, BODY_WEIGHT, FACET_WEIGHT = 4, 1, 2
 MOST_COMMON, FEWEST_TERMS, SCOPE_TERMS = 0.05, 4, 6
 WINDOW, STEP = 520, 260
 IDF_FLOOR = 1e-6
+COMPOUND = r"[a-z0-9_]+(?:[.\-/][a-z0-9_]+)*"
+QUESTION_WORDS = [
+    "a", "about", "an", "are", "decide", "decided", "did", "do", "does", "how", "is", "me", "of", "please", "said", "say", "tell", "the", "was", "were", "what", "when", "where", "which", "who", "why",
+]
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
     """(term, doc_id, tf, len) of documents (doc_id, title, body, facets), tf weighted by column: one shuffle on (doc_id, term)."""
     parts = F.array(*[F.struct(F.lit(w).alias("w"), tokens(F.col(c)).alias("t")) for c, w in (("title", TITLE_WEIGHT), ("body", BODY_WEIGHT), ("facets", FACET_WEIGHT))])
     flat = docs.select("doc_id", F.inline(parts)).select("doc_id", "w", F.explode("t").alias("term"))
     tf = flat.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("n"))
+    if stems:
+        tf = by_stem(tf).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"))
     return tf.select("term", "doc_id", "tf", F.sum("n").over(Window.partitionBy("doc_id")).alias("len"))
 
 
+def by_stem(rows: DataFrame) -> DataFrame:
+    """``rows`` with each term replaced by its stem."""
+    return rows.join(stemmed(rows), "term").drop("term").withColumnRenamed("stem", "term")
+
+
+def compound_postings(terms: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, len) of compounds among ``terms`` (term): only documents with the compound's rarest part are looked into."""
+    parts = terms.select("term").distinct().withColumn("parts", tokens(F.col("term"))).where(F.size("parts") > 1)
+    each = parts.select("term", F.explode("parts").alias("part"))
+    rarest = each.join(document_frequency(found).withColumnRenamed("term", "part"), "part").groupBy("term").agg(F.min_by("part", F.struct("df", "part")).alias("part"))
+    near = rarest.join(found.select(F.col("term").alias("part"), "doc_id", "len"), "part").join(parts, "term").select("term", "parts", "doc_id", "len")
+    text = lambda c: F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), "  "), F.lit(" "))
+    phrase = F.concat(F.lit(" "), F.array_join("parts", "  "), F.lit(" "))
+    tf = sum(w * occurrences(text(c), phrase) for c, w in (("title", TITLE_WEIGHT), ("body", BODY_WEIGHT), ("facets", FACET_WEIGHT)))
+    return near.join(docs, "doc_id").select("term", "doc_id", tf.cast("bigint").alias("tf"), "len").where("tf > 0")
+
+
+def query_terms(questions: DataFrame) -> DataFrame:
+    """(qid, term): a question's terms of two characters or more, compounds whole."""
+    return questions.select("qid", F.explode(F.array_distinct(extract_all(F.lower("question"), COMPOUND))).alias("term")).where(F.length("term") >= 2)
+
+
+def muted(terms: DataFrame, phrases: DataFrame | None) -> DataFrame:
+    """Terms without those of the phrases (qid, phrase): the words of the person asked about aren't the topic."""
+    if phrases is None:
+        return terms
+    return terms.join(query_terms(phrases.select("qid", F.col("phrase").alias("question"))).distinct(), ["qid", "term"], "left_anti")
+
+
 def document_frequency(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -36,24 +74,51 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")).where(F.length("term") >= 2)
 
 
-def selective_terms(questions: DataFrame, df: DataFrame, documents: int) -> DataFrame:
-    """(qid, term, df): terms in at most MOST_COMMON of the documents; where those are too few, the rarest that occur."""
-    known = question_terms(questions).join(df, "term").withColumn("ok", F.col("df") <= F.lit(MOST_COMMON * documents))
+def selected(known: DataFrame, documents: int) -> DataFrame:
+    """Of (qid, term, df): terms in at most MOST_COMMON of the documents; where those are too few, the rarest that occur."""
+    known = known.withColumn("ok", F.col("df") <= F.lit(MOST_COMMON * documents))
     own = Window.partitionBy("qid")
     known = known.withColumn("many", F.sum(F.col("ok").cast("int")).over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "term")))
     return known.where(F.when(F.col("many") >= FEWEST_TERMS, F.col("ok")).otherwise(F.col("place") <= FEWEST_TERMS)).select("qid", "term", "df")
 
 
+def selective_terms(questions: DataFrame, df: DataFrame, documents: int, mute: DataFrame | None = None) -> DataFrame:
+    """(qid, term, df) of the plain terms worth a search; those of ``mute`` (qid, phrase) go before the choice."""
+    return selected(muted(question_terms(questions), mute).join(df, "term"), documents)
+
+
+def topic_terms(terms: DataFrame, df: DataFrame, mute: DataFrame | None = None) -> DataFrame:
+    """(qid, term, df) of terms (qid, term) that occur, however often: for ranking within a scope."""
+    return muted(terms, mute).where(~F.col("term").isin(QUESTION_WORDS)).join(df, "term").select("qid", "term", "df")
+
+
 def match_count(terms: DataFrame, found: DataFrame) -> DataFrame:
     return terms.join(found, "term").groupBy("qid").agg(F.count_distinct("doc_id").alias("matches"))
 
 
-def bm25(terms: DataFrame, found: DataFrame, documents: int, mean_length: float, k: int) -> DataFrame:
-    """The ``k`` best documents of each question: (qid, rank, doc_id, score), scores rounded to 4 places, ties by doc_id."""
+def bm25_scores(terms: DataFrame, found: DataFrame, documents: int, mean_length: float) -> DataFrame:
+    """(qid, doc_id, score) of every document with a term of the question (qid, term, df), rounded to 4 places."""
     tf, n = F.col("tf").cast("double"), F.lit(float(documents))
     idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * (tf * (K1 + 1.0)) / (tf + K1 * ((1.0 - B) + B * F.col("len") / F.lit(mean_length)))
-    scored = terms.join(found, "term").select("qid", "doc_id", part.alias("part")).groupBy("qid", "doc_id").agg(rounded(F.sum("part")).alias("score"))
+    return terms.join(found, "term").select("qid", "doc_id", part.alias("part")).groupBy("qid", "doc_id").agg(rounded(F.sum("part")).alias("score"))
+
+
+def bm25(terms: DataFrame, found: DataFrame, documents: int, mean_length: float, k: int, also: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best documents of each question: (qid, rank, doc_id, score), ties by doc_id.
+
+    ``also`` (qid, term, df) are terms of whom a question names: where a question has both kinds, a document must have one of
+    each, and all count; where it has one kind, that. ``docs`` (qid, doc_id or doc_id) limits what may be found.
+    """
+    every = terms if also is None else terms.union(also.select("qid", "term", "df")).dropDuplicates(["qid", "term"])
+    scored = bm25_scores(every, found, documents, mean_length)
+    if docs is not None:
+        scored = scored.join(docs, [c for c in ("qid", "doc_id") if c in docs.columns], "left_semi")
+    if also is not None:
+        hit = lambda t: t.join(found, "term").select("qid", "doc_id").distinct()
+        both = terms.select("qid").distinct().intersect(also.select("qid").distinct())
+        pairs = hit(terms.join(both, "qid", "left_semi")).intersect(hit(also.join(both, "qid", "left_semi")))
+        scored = scored.join(both, "qid", "left_anti").unionByName(scored.join(pairs, ["qid", "doc_id"], "left_semi"))
     return top(scored, k)
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arbitrate as A
+from ..operators import claims_graph as B
+from ..sources.store import kept
 
 SOURCES = ["confluence", "github", "jira", "linear", "google_drive", "hubspot", "gmail", "fireflies", "slack"]
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Three claims for each line: its status, its limit and its owner."""
+    """Three claims for each line: its status (hedged for every seventh part), its limit and its owner."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     kinds = F.array(
-        F.struct(F.lit("status").alias("p"), F.col("l_linestatus").alias("v")),
+        F.struct(F.lit("status").alias("p"), F.concat(F.when(F.col("l_partkey") % 7 == 0, "probably ").otherwise(""), F.col("l_linestatus")).alias("v")),
         F.struct(F.lit("limit").alias("p"), F.concat(F.round(F.col("l_discount") * 100).cast("int"), F.lit(" percent")).alias("v")),
         F.struct(F.lit("owner").alias("p"), F.col("s_name").alias("v")),
     )
@@ -30,41 +32,53 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL = """
 WITH lines AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS doc_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-kinds AS (SELECT *, 'status' AS predicate, l_linestatus AS object_value FROM lines UNION ALL SELECT *, 'limit', CAST(round(l_discount * 100) AS INT) || ' percent' FROM lines UNION ALL SELECT *, 'owner', s_name FROM lines),
+kinds AS (SELECT *, 'status' AS predicate, CASE WHEN l_partkey % 7 = 0 THEN 'probably ' ELSE '' END || l_linestatus AS object_value FROM lines UNION ALL SELECT *, 'limit', CAST(round(l_discount * 100) AS INT) || ' percent' FROM lines UNION ALL SELECT *, 'owner', s_name FROM lines),
 claims AS (SELECT DISTINCT ON (claim_id) * FROM (SELECT left(sha1(doc_id || '|' || predicate || '|' || lower(object_value)), 12) AS claim_id, predicate, object_value, doc_id,
   list_extract(['confluence','github','jira','linear','google_drive','hubspot','gmail','fireflies','slack'], CAST(l_suppkey % 9 AS INT) + 1) AS source,
   CASE WHEN l_partkey % 5 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS asserted_at, 0.5e0 + 5e0 * l_discount AS extractor_confidence,
   'ORD-' || l_orderkey AS scope, 'order ' || l_orderkey AS subject_key, l_quantity FROM kinds)),
-keyed AS (SELECT *, regexp_replace(trim(regexp_replace(replace(lower(object_value), 'percent', '%'), '[^a-z0-9%]+', ' ', 'g')), '\\s+%', '%', 'g') AS value_key,
+worded AS (SELECT *, regexp_replace(trim(regexp_replace(replace(lower(object_value), 'percent', '%'), '[^a-z0-9%]+', ' ', 'g')), '\\s+%', '%', 'g') AS value_key,
   CASE WHEN asserted_at <> '' THEN CAST(asserted_at[1:4] AS INT) * 372 + CAST(asserted_at[6:7] AS INT) * 31 + CAST(asserted_at[9:10] AS INT) END AS day,
   CASE source WHEN 'confluence' THEN 1e0 WHEN 'github' THEN 0.98e0 WHEN 'jira' THEN 0.94e0 WHEN 'linear' THEN 0.94e0 WHEN 'google_drive' THEN 0.9e0 WHEN 'hubspot' THEN 0.84e0 WHEN 'gmail' THEN 0.8e0 WHEN 'fireflies' THEN 0.74e0 ELSE 0.7e0 END AS authority,
-  CASE predicate WHEN 'status' THEN 0.45e0 ELSE 0.2e0 END AS stale FROM claims),
+  CASE predicate WHEN 'status' THEN 0.45e0 ELSE 0.2e0 END AS stale, CASE WHEN object_value LIKE 'probably %' THEN 0.65e0 ELSE 1e0 END AS explicit FROM claims),
+keyed AS (SELECT * REPLACE (CASE WHEN value_key LIKE 'probably %' AND list_contains(list(value_key) OVER (PARTITION BY scope, predicate), value_key[10:]) THEN value_key[10:] ELSE value_key END AS value_key) FROM worded),
 grouped AS (SELECT *, count(*) OVER (PARTITION BY scope, predicate, value_key) AS holders, min(day) OVER g AS low, max(day) OVER g AS high FROM keyed WINDOW g AS (PARTITION BY scope, predicate)),
-trusted AS (SELECT *, floor(least(1e0, authority * 1e0 * (0.6e0 + (1e0 - 0.6e0) * extractor_confidence) * least(1.3e0, 1e0 + 0.15e0 * (holders - 1)))
+trusted AS (SELECT *, floor(least(1e0, authority * explicit * (0.6e0 + (1e0 - 0.6e0) * extractor_confidence) * least(1.3e0, 1e0 + 0.15e0 * (holders - 1)))
   * (1e0 - stale * (1e0 - CASE WHEN low IS NULL OR low = high THEN 1e0 WHEN day IS NULL THEN 0.5e0 ELSE CAST(day - low AS DOUBLE) / CAST(high - low AS DOUBLE) END)) * 1e4 + 0.5e0) / 1e4 AS trust FROM grouped),
 placed AS (SELECT *, row_number() OVER (PARTITION BY scope, predicate, value_key ORDER BY trust DESC, asserted_at DESC, doc_id, claim_id) AS place FROM trusted),
 tops AS (SELECT *, max(CASE WHEN place = 1 THEN trust END) OVER v AS value_trust, max(CASE WHEN place = 1 THEN doc_id END) OVER v AS value_doc FROM placed WINDOW v AS (PARTITION BY scope, predicate, value_key)),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY scope, predicate ORDER BY value_trust DESC, value_doc, value_key) AS value_rank FROM tops),
-w AS (SELECT scope, predicate, struct_pack(id := claim_id, v := object_value, s := source, a := asserted_at, d := day, t := trust, h := holders, au := authority, c := extractor_confidence) AS w FROM ranked WHERE value_rank = 1 AND place = 1),
-r AS (SELECT scope, predicate, struct_pack(id := claim_id, v := object_value, s := source, a := asserted_at, d := day, t := trust, h := holders, au := authority, c := extractor_confidence) AS r FROM ranked WHERE value_rank = 2 AND place = 1),
-judged AS (SELECT x.*, w, r, r IS NOT NULL AS contested, coalesce(w.d IS NOT NULL AND r.d IS NOT NULL AND w.a > r.a, false) AS recency,
-  coalesce(w.t >= 0.5e0 AND w.t - r.t >= 0.06e0 AND (w.au > r.au OR w.h > r.h OR (w.d IS NOT NULL AND r.d IS NOT NULL AND w.a > r.a) OR (w.d IS NOT NULL AND r.d IS NULL) OR w.c > r.c), false) AS decided
+ranked AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY scope, predicate ORDER BY value_trust DESC, value_doc, value_key) AS value_rank FROM tops),
+w AS (SELECT scope, predicate, struct_pack(id := claim_id, v := object_value, s := source, a := asserted_at, d := day, t := trust, h := holders, au := authority, e := explicit, c := extractor_confidence) AS w FROM ranked WHERE value_rank = 1 AND place = 1),
+r AS (SELECT scope, predicate, struct_pack(id := claim_id, v := object_value, s := source, a := asserted_at, d := day, t := trust, h := holders, au := authority, e := explicit, c := extractor_confidence) AS r FROM ranked WHERE value_rank = 2 AND place = 1),
+judged AS (SELECT x.*, w, r, r IS NOT NULL AS contested, concat_ws('; ', CASE WHEN w.au > r.au THEN w.s || ' carries more authority than ' || r.s END, CASE WHEN w.h > r.h THEN 'corroborated by ' || w.h || ' claims against ' || r.h END,
+  CASE WHEN w.d IS NOT NULL AND r.d IS NOT NULL AND w.a > r.a THEN 'asserted later, ' || w.a || ' against ' || r.a WHEN w.d IS NOT NULL AND r.d IS NULL THEN 'the alternative has no date, this one ' || w.a END,
+  CASE WHEN w.e > r.e THEN 'the alternative hedges its value' END, CASE WHEN w.c > r.c THEN 'extraction confidence was higher' END) AS why, coalesce(w.d IS NOT NULL AND r.d IS NOT NULL AND w.a > r.a, false) AS recency,
+  coalesce(w.t >= 0.5e0 AND w.t - r.t >= 0.06e0 AND (w.au > r.au OR w.h > r.h OR (w.d IS NOT NULL AND r.d IS NOT NULL AND w.a > r.a) OR (w.d IS NOT NULL AND r.d IS NULL) OR w.e > r.e OR w.c > r.c), false) AS decided
   FROM ranked x JOIN w USING (scope, predicate) LEFT JOIN r USING (scope, predicate)),
 arbitrated AS (SELECT *, CASE WHEN NOT contested THEN 'settled' WHEN decided AND value_rank = 1 THEN 'accepted' WHEN decided AND recency THEN 'superseded' ELSE 'disputed' END AS status FROM judged),
-two AS (SELECT *, max(value_rank) OVER (PARTITION BY scope, predicate) AS sides FROM arbitrated WHERE contested)
+two AS MATERIALIZED (SELECT *, max(value_rank) OVER (PARTITION BY scope, predicate) AS sides FROM arbitrated WHERE contested)
 """
 DISAGREEMENTS = SQL + """,
 found AS (SELECT scope || '|' || subject_key || '|' || predicate AS key, scope, subject_key, predicate, CAST(max(sides) AS BIGINT) AS sides, count(*) AS claims, count(DISTINCT doc_id) AS documents,
   string_agg(DISTINCT source, '|' ORDER BY source) AS sources, floor((any_value(w).t - any_value(r).t) * 1e4 + 0.5e0) / 1e4 AS trust_gap, bool_or(decided) AS decided, any_value(w).v AS winner_value, any_value(w).id AS winner_claim_id,
   any_value(w).t AS winner_trust, any_value(r).v AS runner_value, any_value(r).id AS runner_claim_id, any_value(r).t AS runner_trust,
   coalesce(min(CASE WHEN asserted_at <> '' THEN asserted_at END), '') AS first_asserted, max(asserted_at) AS last_asserted,
-  floor(count(*) * (1 + count(DISTINCT source)) * (1e0 + least(any_value(w).t, any_value(r).t)) * CASE WHEN bool_or(decided) THEN 1e0 ELSE 2e0 END * 1e3 + 0.5e0) / 1e3 AS weight
+  floor(count(*) * (1 + count(DISTINCT source)) * (1e0 + least(any_value(w).t, any_value(r).t)) * CASE WHEN bool_or(decided) THEN 1e0 ELSE 2e0 END * 1e3 + 0.5e0) / 1e3 AS weight,
+  CASE WHEN bool_or(decided) THEN any_value(why) WHEN any_value(w).t < 0.5e0 THEN 'both values are weakly evidenced' ELSE 'trust is too close to choose' END AS rationale
   FROM two GROUP BY scope, subject_key, predicate HAVING count(DISTINCT doc_id) >= 2)
 """
 
 
 def _arbitrated(spark, sf):
-    return A.arbitrate(claims(spark, sf))
+    """Arbitrated once for all queries of an application, as a load of the claims graph would."""
+    return kept(spark, sf, "arbitrated", lambda: A.arbitrate(claims(spark, sf)))
+
+
+def _graph(spark, sf):
+    """The tables of one load: an owner's name is the form of the supplier."""
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet")
+    titles = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.col("o_orderkey").cast("string").alias("doc_id"))
+    return B.build(_arbitrated(spark, sf), titles, supplier.select(F.col("s_name").alias("surface"), F.col("s_suppkey").alias("eid")), "g1")
 
 
 def claim_trust(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +90,7 @@ def arbitrate_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_disagreements(spark: SparkSession, sf: str) -> DataFrame:
-    return A.disagreements(_arbitrated(spark, sf)).drop("rationale")
+    return A.disagreements(_arbitrated(spark, sf))
 
 
 def top_disagreements(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,10 +110,43 @@ def contradicts_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contradicted_by(spark: SparkSession, sf: str) -> DataFrame:
-    """For each disputed claim of one scope: the claims against it, the most trusted first."""
+    """For each claim: the claims against it, the most trusted first."""
     judged = _arbitrated(spark, sf)
-    edges = A.contradicts(judged).where("scope < 'ORD-2'")
-    return edges.join(judged.select(F.col("claim_id").alias("dst"), "trust"), "dst").select("src", "dst", "trust")
+    return B.contradicted_by(A.contradicts(judged), judged)
+
+
+def claims_about(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf)
+    return B.claims_about(B.in_generation(g["about"], "g1"), g["claims"])
+
+
+def evidenced_by(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf)["evidenced_by"]
+
+
+def disagreement_people(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf)["disagreements"].select("key", "entity_eid", "gen")
+
+
+def disagreement_concerns(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf)["concerns"]
+
+
+def disagreement_over(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf)["over"]
+
+
+def claim_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf)["claims"].select("claim_id", "scope", "subject", "predicate", "doc_id", "trust", "status", "rationale", "gen")
+
+
+def subject_entities(spark: SparkSession, sf: str) -> DataFrame:
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet")
+    return B.people_named(claims(spark, sf), supplier.select(F.col("s_name").alias("surface"), F.col("s_suppkey").alias("eid")))
+
+
+def scopes_that_abstain(spark: SparkSession, sf: str) -> DataFrame:
+    return A.abstains(_arbitrated(spark, sf))
 
 
 def supersedes_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +166,15 @@ QUERIES = {
     "disagreement_detail": (disagreement_detail, SQL + """, d AS (SELECT scope, predicate FROM two GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2)
       SELECT scope || '|' || subject_key || '|' || predicate AS key, claim_id, value_rank AS side, max(trust) OVER (PARTITION BY scope, predicate, value_key) AS side_trust, trust, status FROM two JOIN d USING (scope, predicate)"""),
     "contradicts_edges": (contradicts_edges, SQL + "SELECT a.claim_id AS src, b.claim_id AS dst, predicate, scope, a.decided, floor(abs(a.trust - b.trust) * 1e4 + 0.5e0) / 1e4 AS gap FROM two a JOIN two b USING (scope, predicate) WHERE a.value_rank <> b.value_rank"),
-    "contradicted_by": (contradicted_by, SQL + "SELECT a.claim_id AS src, b.claim_id AS dst, b.trust FROM two a JOIN two b USING (scope, predicate) WHERE a.value_rank <> b.value_rank AND scope < 'ORD-2'"),
+    "contradicted_by": (contradicted_by, SQL + """SELECT a.claim_id, row_number() OVER (PARTITION BY a.claim_id ORDER BY b.trust DESC, b.claim_id) AS place, b.claim_id AS other, b.trust FROM two a JOIN two b USING (scope, predicate) WHERE a.value_rank <> b.value_rank"""),
+    "claims_about": (claims_about, SQL + """SELECT s_suppkey AS eid, row_number() OVER (PARTITION BY s_suppkey ORDER BY trust DESC, claim_id) AS place, claim_id AS other, trust, predicate FROM arbitrated JOIN supplier ON predicate = 'owner' AND object_value = s_name"""),
+    "evidenced_by": (evidenced_by, SQL + "SELECT claim_id, doc_id, 'g1' AS gen FROM claims"),
+    "disagreement_people": (disagreement_people, DISAGREEMENTS + "SELECT key, coalesce(CAST(s_suppkey AS VARCHAR), '') AS entity_eid, 'g1' AS gen FROM found LEFT JOIN supplier ON predicate = 'owner' AND winner_value = s_name"),
+    "disagreement_concerns": (disagreement_concerns, DISAGREEMENTS + "SELECT key, s_suppkey AS eid, 'g1' AS gen FROM found JOIN supplier ON predicate = 'owner' AND winner_value = s_name"),
+    "disagreement_over": (disagreement_over, SQL + """, k AS (SELECT scope, predicate FROM two GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2) SELECT scope || '|' || subject_key || '|' || predicate AS key, claim_id, value_rank AS side, status, 'g1' AS gen FROM two JOIN k USING (scope, predicate)"""),
+    "claim_vertices": (claim_vertices, SQL + """SELECT claim_id, scope, 'The ' || subject_key AS subject, predicate, doc_id, trust, status, CASE WHEN NOT contested THEN '' WHEN decided THEN why WHEN w.t < 0.5e0 THEN 'both values are weakly evidenced' ELSE 'trust is too close to choose' END AS rationale, 'g1' AS gen FROM arbitrated"""),
+    "subject_entities": (subject_entities, SQL + "SELECT DISTINCT lower(object_value) AS text, s_suppkey AS eid FROM claims JOIN supplier ON object_value = s_name WHERE predicate = 'owner'"),
+    "scopes_that_abstain": (scopes_that_abstain, SQL + "SELECT scope, bool_or(contested AND NOT decided) AS abstains FROM arbitrated GROUP BY scope"),
     "supersedes_edges": (supersedes_edges, SQL + """SELECT w.id AS src, claim_id AS dst, CAST(abs(365 * (CAST(w.a[1:4] AS INT) - CAST(nullif(asserted_at, '')[1:4] AS INT)) + 30 * (CAST(w.a[6:7] AS INT) - CAST(nullif(asserted_at, '')[6:7] AS INT))
       + CAST(w.a[9:10] AS INT) - CAST(nullif(asserted_at, '')[9:10] AS INT)) AS BIGINT) AS days_raw, predicate FROM arbitrated WHERE status = 'superseded'""".replace("CAST(abs(", "CAST(coalesce(abs(").replace(") AS BIGINT) AS days_raw", "), 0) AS BIGINT) AS days")),
     "claim_stats": (claim_stats, SQL + "SELECT predicate, status, count(*) AS claims, count(DISTINCT scope) AS scopes FROM arbitrated GROUP BY ALL"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as R
+from ..sources.store import kept
 
 DATES = ["2025-06-12", "on 12 Jun 2025", "Wed, May 14, 2025", "", "3 september 2024 or 2024-09-04", "31 Foo 2024"]
 
@@ -24,12 +25,15 @@ def questions(spark, sf):
 
 
 class Index:
+    """Written at the first question of an application, sorted by term; later ones read only what they need."""
+
     def __init__(self, spark, sf):
         self.docs, self.questions = corpus(spark, sf), questions(spark, sf)
-        self.postings = R.postings(self.docs)
-        self.df = R.document_frequency(self.postings)
-        self.n, self.mean = self.docs.count(), self.postings.select("doc_id", "len").distinct().agg(F.avg("len")).first()[0]
-        self.terms = R.selective_terms(self.questions, self.df, self.n)
+        self.postings = kept(spark, sf, "postings", lambda: R.postings(self.docs), "term")
+        self.df = kept(spark, sf, "terms", lambda: R.document_frequency(self.postings), "term")
+        sizes = kept(spark, sf, "sizes", lambda: self.postings.groupBy("doc_id").agg(F.first("len").alias("len")).agg(F.avg("len").alias("mean")))
+        self.n, self.mean = self.docs.count(), sizes.first()[0]
+        self.terms = kept(spark, sf, "selected", lambda: R.selective_terms(self.questions, self.df, self.n))
 
     def scope(self):
         """Each question is asked of one source."""

@@ -49,10 +49,10 @@ def dangling_edges(spark, sf):
 
 
 def denotes(spark, sf):
-    """Part names as surfaces of brands: linked, ambiguous or unresolved."""
-    aliases = _t(spark, sf, "part").select(F.col("p_brand").alias("eid"), F.lit("name").alias("kind"), F.col("p_name").alias("surface"))
+    """All part names as surfaces, looked up among the names of sold sizes (10 and more), the ontology: linked, ambiguous or unresolved."""
+    aliases = _t(spark, sf, "part").select(F.col("p_brand").alias("eid"), F.lit("name").alias("kind"), F.col("p_name").alias("surface"), "p_size")
     asked = _t(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("name").alias("kind"), F.upper("p_name").alias("surface"))
-    return G.linked(asked, G.unique_lookup(aliases.where("length(surface) % 3 = 0"))).select("doc_id", "surface", "entities", "eid", "outcome")
+    return G.linked(asked, G.unique_lookup(aliases.where("p_size >= 10"))).select("doc_id", "surface", "entities", "eid", "outcome")
 
 
 def docs_for_entities(spark, sf):
@@ -62,14 +62,13 @@ def docs_for_entities(spark, sf):
 
 
 def entities_for_docs(spark, sf):
-    edges = mentions(spark, sf)
-    return G.entities_for(edges, _t(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("doc_id")), 3)
+    return G.entities_for(mentions(spark, sf), _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), 3)
 
 
 def cooccurrence(spark, sf):
-    """Suppliers that share an order, among the first hundred."""
+    """Suppliers that share an order."""
     edges = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("eid"), F.col("l_orderkey").alias("doc_id"))
-    return G.together(edges, _t(spark, sf, "supplier").where("s_suppkey <= 100").select(F.col("s_suppkey").alias("eid"))).groupBy("a", "b").agg(F.count("*").alias("documents"))
+    return G.together(edges, _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("eid"))).groupBy("a", "b").agg(F.count("*").alias("documents"))
 
 
 def blast_radius(spark, sf):
@@ -116,13 +115,13 @@ QUERIES = {
     "mention_edges": (mention_edges, "SELECT o_custkey AS eid, o_orderkey AS doc_id, count(*) AS mention_count, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS kinds FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"),
     "role_edges": (role_edges, "SELECT o_custkey AS eid, o_orderkey AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'SENT' ELSE 'SPOKE_IN' END AS role FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "endpoint_semi_joins": (dangling_edges, "SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
-    "denotes": (denotes, """WITH l AS (SELECT lower(p_name) AS surface, count(DISTINCT p_brand) AS entities, min(p_brand) AS b FROM part WHERE length(p_name) % 3 = 0 GROUP BY 1)
+    "denotes": (denotes, """WITH l AS (SELECT lower(p_name) AS surface, count(DISTINCT p_brand) AS entities, min(p_brand) AS b FROM part WHERE p_size >= 10 GROUP BY 1)
       SELECT p_partkey AS doc_id, lower(p_name) AS surface, entities, CASE WHEN entities = 1 THEN b END AS eid, CASE WHEN entities = 1 THEN 'linked' WHEN entities > 1 THEN 'ambiguous' ELSE 'unresolved' END AS outcome FROM part LEFT JOIN l ON lower(p_name) = l.surface"""),
     "docs_for_entities": (docs_for_entities, """WITH s(list, key) AS (VALUES (0, 7), (1, 10), (2, 13), (3, 16)),
       n AS (SELECT CAST(list AS BIGINT) AS list, row_number() OVER (PARTITION BY list ORDER BY o_orderkey) AS rank, o_orderkey AS doc_id FROM orders JOIN s ON o_custkey = key),
       f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, list) AS k FROM n WHERE rank <= 8) SELECT list, CAST(rank AS INT) AS rank, doc_id FROM f WHERE k = 1 ORDER BY rank, list, doc_id LIMIT 20"""),
-    "entities_for_docs": (entities_for_docs, "SELECT o_custkey AS eid, count(DISTINCT o_orderkey) AS documents FROM orders WHERE o_totalprice > 200000 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1"),
-    "cooccurrence_paths": (cooccurrence, "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE l_suppkey <= 100) SELECT x.s AS a, y.s AS b, count(*) AS documents FROM e x JOIN e y ON x.o = y.o AND x.s < y.s GROUP BY ALL"),
+    "entities_for_docs": (entities_for_docs, "SELECT o_custkey AS eid, count(DISTINCT o_orderkey) AS documents FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1"),
+    "cooccurrence_paths": (cooccurrence, "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)) SELECT x.s AS a, y.s AS b, count(*) AS documents FROM e x JOIN e y ON x.o = y.o AND x.s < y.s GROUP BY ALL"),
     "blast_radius": (blast_radius, """WITH c AS (SELECT DISTINCT l_partkey AS claim_id, l_orderkey AS doc_id FROM lineitem),
       e AS (SELECT claim_id, lower(c_name) AS who, c_custkey AS eid, min(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END) AS r FROM c JOIN orders ON doc_id = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
       SELECT claim_id, who, eid, CASE r WHEN 0 THEN 'sent' WHEN 1 THEN 'spoke in' ELSE 'named in' END AS role FROM e"""),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import identity as I
 from ..operators import priors as P
+from ..sources.store import kept
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,27 +26,56 @@ def seen(spark, sf):
 
 class World:
     def __init__(self, spark, sf):
-        self.links = I.hard_links(people(spark, sf).where("doc_id % 3 = 0").select("name", "email"))
-        self.surfaces = I.surfaces(seen(spark, sf))
-        self.working = I.working_set(self.surfaces, self.links)
+        self.spark, self.sf = spark, sf
+        addresses, names = people(spark, sf).select("email"), people(spark, sf).select("name")
+        self.home = kept(spark, sf, "home", lambda: P.home_labels(addresses))
+        self.functional = kept(spark, sf, "functional", lambda: P.functional(addresses, names.select(F.explode(F.split("name", " ")).alias("token"))))
+        self.links = kept(spark, sf, "links", lambda: I.hard_links(people(spark, sf).select("name", "email")))
+        self.surfaces = kept(spark, sf, "surfaces", lambda: I.surfaces(seen(spark, sf), self.home, self.functional))
+        self.working = kept(spark, sf, "working", lambda: I.working_set(self.surfaces, self.links, self.functional))
 
     def pairs(self):
-        return I.candidate_pairs(self.working)
+        return kept(self.spark, self.sf, "pairs", lambda: I.candidate_pairs(self.working, self.links))
 
     def scores(self):
-        return I.scored(self.pairs(), self.working, self.links)
+        return kept(self.spark, self.sf, "scores", lambda: I.scored(self.pairs(), self.working, self.links))
 
-    def all_scores(self):
-        """Of the stated pairs too, which the SQL of the other queries doesn't have."""
-        return I.scored(self.pairs().union(I.stated_pairs(self.working, self.links)).distinct(), self.working, self.links)
+    def clustered(self):
+        return kept(self.spark, self.sf, "clustered", lambda: I.entities(self.scores(), self.working))
 
 
 def surface_counts(spark, sf):
-    return World(spark, sf).surfaces.select("key", "count", "documents", "orgs")
+    return World(spark, sf).surfaces.select("key", "count", "documents", "orgs", F.coalesce("org", F.lit("")).alias("org"), "is_functional")
+
+
+def surface_sources(spark, sf):
+    return I.counted_by(seen(spark, sf), "org")
+
+
+def exclusive_links(spark, sf):
+    w = World(spark, sf)
+    return I.exclusive_links(w.links, w.functional)
+
+
+def best_evidence(spark, sf):
+    w = World(spark, sf)
+    return I.best_evidence(w.clustered(), I.accepted(w.scores(), w.clustered())).select("key", "score", "signals")
+
+
+def address_orgs(spark, sf):
+    return P.org_of(people(spark, sf).select("email").distinct(), World(spark, sf).home)
+
+
+def minded_names(spark, sf):
+    """Names, some of them no names, as occurrences: what stays and as what."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.element_at(F.split("p_name", " "), 1)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Meeting "), "p_name")).otherwise(F.concat(F.upper("p_name"), F.lit(" (QA)")))
+    return I.minded(part.select(F.lit("name").alias("kind"), raw.alias("value"), F.col("p_partkey").alias("doc_id")))
 
 
 def shared_mailboxes(spark, sf):
-    return I.shared_mailboxes(World(spark, sf).links)
+    w = World(spark, sf)
+    return I.shared_mailboxes(w.links, w.functional)
 
 
 def working_set(spark, sf):
@@ -74,7 +104,12 @@ def components(spark, sf):
 
 def entities(spark, sf):
     w = World(spark, sf)
-    return I.canonical(I.entities(w.all_scores(), w.working), w.working)
+    return I.canonical(w.clustered(), w.working, I.accepted(w.scores(), w.clustered()))
+
+
+def resolution_stages(spark, sf):
+    w = World(spark, sf)
+    return I.diagnostics(w.surfaces, w.working, w.pairs(), w.scores(), w.clustered()).where("stage <> 'entities'")
 
 
 def priors_home(spark, sf):
@@ -87,23 +122,31 @@ def priors_functional(spark, sf):
 
 
 def priors_qualifiers(spark, sf):
-    """The second word of a brand's parts, seen behind the words of many names; addresses are of every fortieth part."""
-    return P.qualifiers(people(spark, sf).select("name"), people(spark, sf).where("doc_id % 40 = 0").select("email"))
+    """Names with a title behind those of every second part; titles are in no address."""
+    titled = people(spark, sf).select(F.concat(F.col("name"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.get(F.array(*map(F.lit, ("ae", "lead", "müller"))), (F.col("doc_id") % 3).cast("int")))).otherwise("")).alias("name"))
+    return P.qualifiers(titled, people(spark, sf).select("email").union(people(spark, sf).select(F.concat(F.lit("mueller."), "email"))))
 
 
 SQL = r"""WITH RECURSIVE p AS (SELECT p_partkey AS doc_id, lower(p_name) AS name, lower(split_part(p_name, ' ', 1)) AS f, lower(split_part(p_name, ' ', -1)) AS l, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS org FROM part),
 people AS (SELECT *, left(f, 1) || l AS handle, CASE WHEN doc_id % 11 = 0 THEN 'info' WHEN doc_id % 5 = 0 THEN left(f, 1) || l ELSE f || '.' || l END || '@' || org || '.com' AS email FROM p),
 seen AS (SELECT doc_id, org, 'name' AS kind, name AS value FROM people UNION ALL SELECT doc_id, org, 'handle', handle FROM people UNION ALL SELECT doc_id, org, 'email', email FROM people),
 surfaces AS (SELECT kind, value, kind || ':' || value AS key, count(*) AS count, count(DISTINCT doc_id) AS documents, count(DISTINCT org) AS orgs FROM seen GROUP BY kind, value),
-links AS (SELECT name, email, count(*) AS times FROM people WHERE doc_id % 3 = 0 GROUP BY ALL),
-shared AS (SELECT email, count(DISTINCT name) AS names FROM links GROUP BY email HAVING names > 1),
+mb AS (SELECT DISTINCT org AS label, split_part(email, '@', 1) AS local FROM people), hl AS (SELECT label FROM mb GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+rare AS (SELECT * FROM mb WHERE local IN (SELECT local FROM mb GROUP BY local HAVING count(*) <= 2)), oh AS (SELECT local FROM rare WHERE label IN (FROM hl)),
+sh AS (SELECT label, count(*) AS n, count(*) FILTER (local IN (FROM oh)) AS shared FROM rare WHERE label NOT IN (FROM hl) GROUP BY label),
+home AS (FROM hl UNION ALL SELECT label FROM sh WHERE shared >= 3 AND shared / least(n, (SELECT count(*) FROM oh)) >= 0.25),
+nt AS (SELECT f AS t FROM p UNION SELECT l FROM p), ofn AS (SELECT local FROM mb GROUP BY local HAVING count(DISTINCT label) >= 3),
+fn AS (SELECT DISTINCT local FROM (SELECT local, unnest(list_filter(regexp_split_to_array(local, '[^a-z]+'), lambda x: x <> '')) AS t FROM ofn) WHERE t NOT IN (FROM nt) AND NOT (length(t) > 2 AND substr(t, 2) IN (FROM nt))),
+links AS (SELECT name, email, count(*) AS times FROM people GROUP BY ALL),
+shared AS (SELECT email, count(DISTINCT name) AS names FROM links GROUP BY email HAVING names > 1 OR split_part(email, '@', 1) IN (FROM fn)),
 bound AS (SELECT 'name:' || name AS key FROM links WHERE email NOT IN (SELECT email FROM shared) UNION SELECT 'email:' || email FROM links WHERE email NOT IN (SELECT email FROM shared)),
 working AS (SELECT *, CASE WHEN kind = 'name' THEN string_split(value, ' ') ELSE list_filter(regexp_split_to_array(regexp_replace(split_part(value, '@', 1), '[0-9]+', '', 'g'), '[._\-\s]+'), lambda x: x <> '') END AS tokens
-  FROM surfaces WHERE key NOT IN (SELECT 'email:' || email FROM shared) AND (count >= 5 OR key IN (FROM bound))),
+  FROM surfaces WHERE key NOT IN (SELECT 'email:' || email FROM shared) AND NOT (kind = 'email' AND split_part(value, '@', 1) IN (FROM fn)) AND (count >= 5 OR key IN (FROM bound))),
 bk AS (SELECT DISTINCT key, unnest(list_filter([ 'compact:' || array_to_string(tokens, ''), CASE WHEN len(tokens) >= 2 THEN 'first:' || tokens[1] END, CASE WHEN len(tokens) >= 2 THEN 'last:' || tokens[-1] END,
   CASE WHEN len(tokens) >= 2 THEN 'init:' || left(tokens[1], 1) || '|' || tokens[-1] WHEN length(tokens[1]) > 2 THEN 'init:' || left(tokens[1], 1) || '|' || substr(tokens[1], 2) END ], lambda x: x IS NOT NULL)) AS block FROM working),
 bn AS (SELECT block, key, count(*) OVER (PARTITION BY block) AS n FROM bk),
-pairs AS (SELECT DISTINCT x.key AS a, y.key AS b FROM bn x JOIN bn y ON x.block = y.block AND x.key < y.key WHERE x.n BETWEEN 2 AND 240),
+pairs AS (SELECT x.key AS a, y.key AS b FROM bn x JOIN bn y ON x.block = y.block AND x.key < y.key WHERE x.n BETWEEN 2 AND 240
+  UNION SELECT least('name:' || name, 'email:' || email), greatest('name:' || name, 'email:' || email) FROM links WHERE 'name:' || name IN (SELECT key FROM working) AND 'email:' || email IN (SELECT key FROM working)),
 full_names AS (SELECT array_to_string(tokens, '') AS form, tokens[1] AS given, left(tokens[1], 1) || '|' || tokens[-1] AS initial FROM working WHERE kind = 'name' AND len(tokens) >= 2),
 go AS (SELECT given, min(form) AS o FROM full_names GROUP BY given HAVING count(DISTINCT form) = 1), io AS (SELECT initial, min(form) AS o FROM full_names GROUP BY initial HAVING count(DISTINCT form) = 1),
 side AS (SELECT key, kind, array_to_string(tokens, '') AS c, len(tokens) AS n, tokens[1] AS g, tokens[-1] AS z, left(tokens[1], 1) || '|' || tokens[-1] AS i, go.o AS go, io.o AS io FROM working LEFT JOIN go ON tokens[1] = go.given LEFT JOIN io ON left(tokens[1], 1) || '|' || tokens[-1] = io.initial),
@@ -123,7 +166,15 @@ BOXES = r"""WITH p AS (SELECT p_partkey AS doc_id, lower(p_name) AS name, lower(
 m AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'info' WHEN doc_id % 5 = 0 THEN left(f, 1) || l ELSE f || '.' || l END AS local FROM p), own AS (SELECT DISTINCT label, local FROM m)
 """
 QUERIES = {
-    "surface_counts": (surface_counts, SQL + "SELECT key, count, documents, orgs FROM surfaces"),
+    "surface_counts": (surface_counts, SQL + """SELECT key, count, documents, orgs, CASE WHEN kind <> 'email' THEN '' WHEN regexp_extract(value, '@([^.]+)', 1) IN (FROM home) THEN 'home' ELSE regexp_extract(value, '@([^.]+)', 1) END AS org,
+      kind = 'email' AND split_part(value, '@', 1) IN (FROM fn) AS is_functional FROM surfaces"""),
+    "surface_sources": (surface_sources, SQL + "SELECT kind || ':' || value AS key, org, count(*) AS count FROM seen GROUP BY ALL"),
+    "exclusive_links": (exclusive_links, SQL + "SELECT * FROM links WHERE email NOT IN (SELECT email FROM shared)"),
+    "address_orgs": (address_orgs, SQL + "SELECT DISTINCT email, CASE WHEN org IN (FROM home) THEN '' ELSE org END AS org FROM people"),
+    "minded_names": (minded_names, """SELECT CASE WHEN p_partkey % 4 = 0 THEN 'handle' ELSE 'name' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN lower(split_part(p_name, ' ', 1)) ELSE lower(p_name) END AS value, p_partkey AS doc_id FROM part WHERE p_partkey % 4 <> 1"""),
+    "best_evidence": (best_evidence, None),
+    "resolution_stages": (resolution_stages, SQL + """SELECT 'surfaces' AS stage, count(*) AS n FROM surfaces UNION ALL SELECT 'working', count(*) FROM working UNION ALL SELECT 'pairs', count(*) FROM pairs UNION ALL SELECT 'scored', count(*) FROM scores
+      UNION ALL SELECT 'strong', count(*) FROM scores WHERE score >= 0.7e0"""),
     "shared_mailboxes": (shared_mailboxes, SQL + "SELECT * FROM shared"),
     "working_set": (working_set, SQL + "SELECT key, count FROM working"),
     "blocking_pairs": (blocking_pairs, SQL + "SELECT * FROM pairs"),
@@ -137,7 +188,8 @@ QUERIES = {
       oh AS (SELECT local FROM rare WHERE label IN (FROM h)), s AS (SELECT label, count(*) AS n, count(*) FILTER (local IN (FROM oh)) AS shared FROM rare WHERE label NOT IN (FROM h) GROUP BY label)
       FROM h UNION ALL SELECT label FROM s WHERE shared >= 3 AND shared / least(n, (SELECT count(*) FROM oh)) >= 0.25"""),
     "priors_functional": (priors_functional, BOXES + """, o AS (SELECT local, count(DISTINCT label) AS labels FROM own GROUP BY local HAVING labels >= 3), t AS (SELECT local, unnest(list_filter(regexp_split_to_array(local, '[^a-z]+'), lambda x: x <> '')) AS token FROM o)
-      SELECT local, labels FROM o WHERE local IN (SELECT local FROM t WHERE token NOT IN (SELECT f FROM p UNION SELECT l FROM p))"""),
-    "priors_qualifiers": (priors_qualifiers, BOXES + """, q AS (SELECT l AS token, count(DISTINCT f) AS partners FROM p GROUP BY l HAVING partners >= 8), b AS (SELECT token, count(*) AS boxes FROM (SELECT unnest(regexp_split_to_array(local, '[^a-z]+')) AS token FROM m WHERE doc_id % 40 = 0) GROUP BY token)
-      SELECT token, partners FROM q LEFT JOIN b USING (token) WHERE coalesce(4 * boxes, 0) < partners"""),
+      SELECT local, labels FROM o WHERE local IN (SELECT local FROM t WHERE token NOT IN (SELECT f FROM p UNION SELECT l FROM p) AND NOT (length(token) > 2 AND substr(token, 2) IN (SELECT f FROM p UNION SELECT l FROM p)))"""),
+    "priors_qualifiers": (priors_qualifiers, BOXES + """, t AS (SELECT f AS before, l AS token FROM p UNION ALL SELECT l, list_extract(['ae', 'lead', 'müller'], CAST(doc_id % 3 AS INT) + 1) FROM p WHERE doc_id % 2 = 0), q AS (SELECT token, count(DISTINCT before) AS partners FROM t GROUP BY token HAVING partners >= 8),
+      b AS (SELECT token, count(*) AS boxes FROM (SELECT unnest(regexp_split_to_array(local, '[^a-z]+')) AS token FROM m UNION ALL SELECT unnest(regexp_split_to_array('mueller.' || local, '[^a-z]+')) FROM m) GROUP BY token)
+      SELECT q.token, partners FROM q LEFT JOIN b ON b.token = CASE q.token WHEN 'müller' THEN 'mueller' ELSE q.token END WHERE 4 * coalesce(boxes, 0) < partners"""),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import asking, claims, corpus, orders_graph, people
+from .plans import asking, claims, corpus, files, library, orders_graph, people
 
-PARTS = (claims, orders_graph, corpus, people, asking)
+PARTS = (claims, orders_graph, corpus, people, asking, library, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

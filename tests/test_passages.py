@@ -23,5 +23,11 @@ def test_citations_and_report(spark):
     assert (r.n, r.c) == ([1, 2], "T (slack)")
     facts = spark.createDataFrame([("x", 1, 1, False, 2.0), ("x", 1, 1, False, 2.0), ("x", 2, 0, True, 4.0), ("y", 3, 1, False, 9.0)], "kind string, qid int, supported int, abstained boolean, seconds double")
     got = {r.kind: tuple(r)[1:] for r in P.graded(facts).collect()}
-    assert got == {"x": (2, 3, 2, 1, 1, 3.0), "y": (1, 1, 1, 1, 0, 9.0), None: (3, 4, 3, 2, 1, 4.0)}
+    assert got == {"x": (2, 3, 2, 1, 1, 3.0, 2.0), "y": (1, 1, 1, 1, 0, 9.0, 9.0), None: (3, 4, 3, 2, 1, 4.0, 4.0)}
     assert P.abstains("NOT_IN_CORPUS.") and not P.abstains("")
+
+
+def test_without_a_matching_term_the_head_gets_what_the_tail_leaves():
+    body = "word " * 2000
+    (a, b), (c, d) = P.chosen(body, ["absent"], 1600)
+    assert a == 0 and d == len(body) and 1600 - (d - c) - 10 <= b <= 1600 - 400 and b - a + d - c <= 1600

@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's documents.
 
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of ``documents``. Rows that share an id are one document; rows with a null id are never filtered out by id.
+of ``documents``; extra columns are dropped. Null and empty texts pass as they are, but the repeat stage makes null texts
+empty. Rows alike in id and text share their fate. The near-dup stage goes by id: rows that share one are one document and
+stay or go together, and rows with a null id stay. The contamination stage goes by row, whatever its id.
 """
 
 from __future__ import annotations
@@ -42,8 +44,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    gone = decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    gone = decontaminate.contained(rows, table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct()
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

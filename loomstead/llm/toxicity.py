@@ -1,13 +1,14 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index; their weighted votes are the score.
 
-The index holds a bounded sample of labelled documents (``EXAMPLES``), in order of their ids, and of their terms (words
-and their first ``STEMS`` bytes, which stand for inflected forms) those that tell most about the label: by chi-square, how
-many is chosen by the log loss on a quarter of the sample, and near copies of earlier examples are left out first, or else
-every word of a much-copied text would seem to tell something. Examples stand in
+The index holds a bounded sample of labelled documents (``EXAMPLES``), in order of their ids, and of their terms (words,
+and their first ``STEMS`` bytes, which stand for inflected forms) those that tell most about the label by chi-square: of the
+sample's whole vocabulary at most the largest of ``TERMS``. How many, whether stems are among them and how many neighbours
+vote is chosen by the log loss on a quarter of the sample; near copies of earlier examples are left out first, or else every
+word of a much-copied text would seem to tell something. Examples stand in
 blocks of ``BLOCK``; a term's postings have, for each block, the largest weight in it. The sum of those, over a document's
 terms, bounds every cosine in the block, so blocks are scored in the order of their bounds until no bound reaches the k-th
-best cosine: the neighbours are exact, ties going to the smaller id. A vote weighs its squared cosine; a small prior weight
-carries the share of label 1, which is all that a document without any indexed term gets (its own share).
+best cosine: the neighbours by the indexed terms are exact, ties going to the smaller id. A vote weighs its squared cosine; a
+small prior weight carries the share of label 1, which is all that a document without any indexed term gets (its own share).
 
 Defined cases: null and empty texts have no indexed term; without labels, or with one class only, the score is the smoothed
 share of label 1. Repeated rows score alike. Extra columns are not carried.
@@ -29,7 +30,8 @@ from .runtime import need, ship, table
 from .text import NO_LETTER, U, pieces, stems, utf8
 
 EXAMPLES = 5000
-NEIGHBOURS = 9
+#: Numbers of neighbours to choose from.
+NEIGHBOURS = (5, 9, 17)
 STEMS = (4, 5, 6, 7, 8)
 TERMS = (8, 16, 32, 64, 128, 256, 512)
 BLOCK = 64
@@ -38,11 +40,11 @@ _BITS = 16
 
 
 def term_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of the texts' words, and the row of each: every word, and every stem shorter than its word."""
+    """The terms of the texts' words, and the row of each: every word (an even number), and every stem shorter than its word (an odd one)."""
     (whole, *short), woff, _ = stems(*utf8(column), STEMS, NO_LETTER)
     row = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
     cut = [h != whole for h in short]
-    return np.concatenate([whole, *(h[c] for h, c in zip(short, cut, strict=True))]), np.concatenate([row, *(row[c] for c in cut)])
+    return np.concatenate([whole & ~U(1), *(h[c] | U(1) for h, c in zip(short, cut, strict=True))]), np.concatenate([row, *(row[c] for c in cut)])
 
 
 def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +78,7 @@ class Index:
     most: np.ndarray  # by term and block: the largest weight
     share: float
     share_without: float
+    votes: int = NEIGHBOURS[-1]
 
     def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
         x = np.zeros((rows, len(self.terms)), np.float32)
@@ -83,7 +86,7 @@ class Index:
         length = np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
         return (x / np.where(length, length, 1)).astype(np.float32)
 
-    def nearest(self, x: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the ``k`` nearest examples of each row, nearest first; -1 and 0 where there are fewer with a common term."""
         n = len(x)
         best, place = np.zeros((n, k)), np.full((n, k), -1, np.int64)
@@ -108,16 +111,20 @@ class Index:
                 best[rows], place[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
         return place, best
 
+    def voted(self, some: np.ndarray, place: np.ndarray, best: np.ndarray, votes: int, rows: int) -> np.ndarray:
+        """The scores of ``rows`` rows, of which ``some`` have neighbours, by their first ``votes``."""
+        out = np.full(rows, self.share_without)
+        weight = best[:, :votes] ** 2
+        out[some] = ((weight * self.label[place[:, :votes]]).sum(1) + PRIOR * self.share) / (weight.sum(1) + PRIOR)
+        return out
+
     def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each row's score, and its neighbours and their cosines as evidence."""
-        out = np.full(len(x), self.share_without)
-        place, best = np.full((len(x), NEIGHBOURS), -1, np.int64), np.zeros((len(x), NEIGHBOURS))
-        some = np.flatnonzero(x.any(1))
-        if len(some) and len(self.ids):
-            place[some], best[some] = self.nearest(x[some])
-            weight = best[some] ** 2
-            out[some] = ((weight * self.label[place[some]]).sum(1) + PRIOR * self.share) / (weight.sum(1) + PRIOR)
-        return out, place, best
+        place, best = np.full((len(x), self.votes), -1, np.int64), np.zeros((len(x), self.votes))
+        some = np.flatnonzero(x.any(1)) if len(self.ids) else np.zeros(0, np.int64)
+        if len(some):
+            place[some], best[some] = self.nearest(x[some], self.votes)
+        return self.voted(some, place[some], best[some], self.votes, len(x)), place, best
 
 
 def build(row: np.ndarray, term: np.ndarray, count: np.ndarray, ids: np.ndarray, label: np.ndarray, most_terms: int) -> Index:
@@ -162,15 +169,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index:
     row, term, count, ids, label = (np.cumsum(kept) - 1)[row[own]], term[own], count[own], ids[kept], label[kept]
     trial = np.arange(len(ids)) % 4 == 0
     losses = {}
-    for terms in TERMS:
-        own = ~trial[row]
-        index = build(np.cumsum(~trial)[row[own]] - 1, term[own], count[own], ids[~trial], label[~trial], terms)
-        seat = np.searchsorted(index.terms, term)
-        keep = trial[row] & (index.terms[np.minimum(seat, len(index.terms) - 1)] == term) if len(index.terms) else np.zeros(len(row), bool)
-        x = index.vectors(np.cumsum(trial)[row[keep]] - 1, seat[keep], count[keep], int(trial.sum()))
-        p = np.clip(index.score(x)[0], 1e-3, 1 - 1e-3)
-        losses[terms] = -np.mean(np.where(label[trial] > 0, np.log(p), np.log(1 - p))) if len(p) else 0.0
-    return build(row, term, count, ids, label, min(losses, key=losses.get))
+    for with_stems in (True, False):
+        usable = np.ones(len(term), bool) if with_stems else term & U(1) == 0
+        for terms in TERMS:
+            own = usable & ~trial[row]
+            index = build(np.cumsum(~trial)[row[own]] - 1, term[own], count[own], ids[~trial], label[~trial], terms)
+            seat = np.searchsorted(index.terms, term)
+            keep = trial[row] & (index.terms[np.minimum(seat, len(index.terms) - 1)] == term) if len(index.terms) else np.zeros(len(row), bool)
+            x = index.vectors(np.cumsum(trial)[row[keep]] - 1, seat[keep], count[keep], int(trial.sum()))
+            some = np.flatnonzero(x.any(1))
+            place, best = index.nearest(x[some], NEIGHBOURS[-1]) if len(some) else (np.zeros((0, 1), np.int64), np.zeros((0, 1)))
+            for votes in NEIGHBOURS:
+                p = np.clip(index.voted(some, place, best, votes, len(x)), 1e-3, 1 - 1e-3)
+                losses[with_stems, terms, votes] = -np.mean(np.where(label[trial] > 0, np.log(p), np.log(1 - p))) if len(p) else 0.0
+    with_stems, terms, votes = min(losses, key=losses.get)
+    usable = np.ones(len(term), bool) if with_stems else term & U(1) == 0
+    index = build(row[usable], term[usable], count[usable], ids, label, terms)
+    index.votes = votes
+    return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:

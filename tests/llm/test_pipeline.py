@@ -72,3 +72,27 @@ def test_empty_documents(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_at_every_stage(spark):
+    """Nulls in every column, repeated rows, shared ids, ties, empty texts and columns that clash with the operators' own."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    text = "The old mill stands by the river, and its wheel has turned for longer than anyone in the village can say. " * 3
+    rows = [
+        (1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text, None, None, None), (3, text + "Once more, with a few words behind.", "en", "a", 9), (None, text, "en", "a", 9), (None, None, None, None, None),
+        (4, None, "en", "a", 0), (5, "", "en", "a", 0), (6, f"Before it. {item} After it.", "en", "a", 9), (None, item, "en", "a", 9), (6, "Another row of that id.", "en", "a", 9),
+    ]
+    docs = spark.createDataFrame([(*r, 7, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, component string, row string")
+    stage = dict(pipeline.STAGES)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    ran = {name: sorted(stage[name](spark, docs, SF).collect(), key=key) for name in ("quality", "near_dup", "suffix_dedup", "decontamination")}
+    assert all(list(r.asDict()) == pipeline.COLUMNS for got in ran.values() for r in got)
+    assert {(r.doc_id, r.text) for r in ran["quality"]} <= {(r[0], r[1]) for r in rows}
+    near = [(r.doc_id, r.text) for r in ran["near_dup"]]
+    assert near.count((1, text)) == 2 and not any(d == 2 for d, _ in near) and sum(d is None for d, _ in near) == 3 and (4, None) in near and (5, "") in near
+    cut = [(r.doc_id, r.text, r.n_chars) for r in ran["suffix_dedup"]]
+    assert len(cut) == len(rows) and all(n == len(t) for _, t, n in cut) and cut.count((1, text, len(text))) == 2 and (2, "", 0) in cut and (None, text, len(text)) in cut and (4, "", 0) in cut
+    clean = [(r.doc_id, r.text) for r in ran["decontamination"]]
+    assert len(clean) == len(rows) - 2 and (6, "Another row of that id.") in clean and (None, item) not in clean
+    packed = stage["packing"](spark, docs, SF).collect()
+    assert sum(r.doc_id is None for r in packed) == 3 and sum(r.doc_id in (4, 5) and r.length == 1 for r in packed) == 2

@@ -161,6 +161,16 @@ def disagreement_map(found: DataFrame, limit: int = 40, predicate: str | None =
     return found.orderBy(F.desc("weight"), "key").limit(limit)
 
 
+def described(arbitrated: DataFrame) -> DataFrame:
+    """(scope, text): what the claims of a scope come to, a line for each value: agreeing claims are one line with their sources; then why, where values compete."""
+    value = arbitrated.groupBy(*GROUP, "value_rank").agg(
+        F.min_by("object_value", "place").alias("value"), F.min_by("status", "place").alias("status"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"), F.first("rationale").alias("why"))
+    line = F.concat(F.col("subject_key"), F.lit(" "), F.col("predicate"), F.lit(": "), F.col("value"), F.lit(" ["), F.col("status"), F.lit("; "), F.col("sources"), F.lit("]"))
+    line = F.when((F.col("value_rank") == 1) & F.col("why").isNotNull(), F.concat(line, F.lit(" because "), F.col("why"))).otherwise(line)
+    rows = value.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("subject_key", "predicate", "value_rank", line.alias("line")))).alias("lines"))  # the claims of one work item
+    return rows.select("scope", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+
+
 def abstains(arbitrated: DataFrame) -> DataFrame:
     """(scope, abstains): whether some group of a scope has competing values and no decision."""
     return arbitrated.groupBy("scope").agg(F.max((F.col("sides") > 1) & ~F.col("decided")).alias("abstains"))

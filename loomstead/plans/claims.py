@@ -145,6 +145,10 @@ def subject_entities(spark: SparkSession, sf: str) -> DataFrame:
     return B.people_named(claims(spark, sf), supplier.select(F.col("s_name").alias("surface"), F.col("s_suppkey").alias("eid")))
 
 
+def arbitration_text(spark: SparkSession, sf: str) -> DataFrame:
+    return A.described(_arbitrated(spark, sf))
+
+
 def scopes_that_abstain(spark: SparkSession, sf: str) -> DataFrame:
     return A.abstains(_arbitrated(spark, sf))
 
@@ -174,6 +178,9 @@ QUERIES = {
     "disagreement_over": (disagreement_over, SQL + """, k AS (SELECT scope, predicate FROM two GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2) SELECT scope || '|' || subject_key || '|' || predicate AS key, claim_id, value_rank AS side, status, 'g1' AS gen FROM two JOIN k USING (scope, predicate)"""),
     "claim_vertices": (claim_vertices, SQL + """SELECT claim_id, scope, 'The ' || subject_key AS subject, predicate, doc_id, trust, status, CASE WHEN NOT contested THEN '' WHEN decided THEN why WHEN w.t < 0.5e0 THEN 'both values are weakly evidenced' ELSE 'trust is too close to choose' END AS rationale, 'g1' AS gen FROM arbitrated"""),
     "subject_entities": (subject_entities, SQL + "SELECT DISTINCT lower(object_value) AS text, s_suppkey AS eid FROM claims JOIN supplier ON object_value = s_name WHERE predicate = 'owner'"),
+    "arbitration_text": (arbitration_text, SQL + """, v AS (SELECT scope, subject_key, predicate, value_rank, min_by(object_value, place) AS v, min_by(status, place) AS status, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources,
+      any_value(CASE WHEN NOT contested THEN NULL WHEN decided THEN why WHEN w.t < 0.5e0 THEN 'both values are weakly evidenced' ELSE 'trust is too close to choose' END) AS why FROM arbitrated GROUP BY ALL)
+      SELECT scope, string_agg(subject_key || ' ' || predicate || ': ' || v || ' [' || status || '; ' || sources || ']' || CASE WHEN value_rank = 1 AND why IS NOT NULL THEN ' because ' || why ELSE '' END, chr(10) ORDER BY subject_key, predicate, value_rank) AS text FROM v GROUP BY scope"""),
     "scopes_that_abstain": (scopes_that_abstain, SQL + "SELECT scope, bool_or(contested AND NOT decided) AS abstains FROM arbitrated GROUP BY scope"),
     "supersedes_edges": (supersedes_edges, SQL + """SELECT w.id AS src, claim_id AS dst, CAST(abs(365 * (CAST(w.a[1:4] AS INT) - CAST(nullif(asserted_at, '')[1:4] AS INT)) + 30 * (CAST(w.a[6:7] AS INT) - CAST(nullif(asserted_at, '')[6:7] AS INT))
       + CAST(w.a[9:10] AS INT) - CAST(nullif(asserted_at, '')[9:10] AS INT)) AS BIGINT) AS days_raw, predicate FROM arbitrated WHERE status = 'superseded'""".replace("CAST(abs(", "CAST(coalesce(abs(").replace(") AS BIGINT) AS days_raw", "), 0) AS BIGINT) AS days")),

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import asking as Q
 from ..operators import facets as C
 from ..operators import graph as G
+from ..operators import loads as L
 from ..operators import passages as P
 from ..operators import retrieval as R
-from ..sources.store import kept
+from ..sources.store import kept, upsert
 
 ASKED = [
     "What did the customer success nation and machinery space decide about order 12?", "Which channel holds the nation-3-orders talk about household", "Was machinery building order 5 in the emails of Buyer 000000007?",
@@ -100,6 +101,66 @@ def library(spark: SparkSession, sf: str) -> Q.Library:
     return Q.Library(kept(spark, sf, "searchable", lambda: docs), postings, df, n, mean, words, boxes, members, named, people, mentions(spark, sf))
 
 
+def graph(spark, sf) -> dict[str, DataFrame]:
+    """Orders as documents whose mails, attendees and chats name customers and a few handles."""
+    docs = recorded(spark, sf).withColumn("emails", F.transform("named_emails", lambda p: p["email"])).withColumn("mentions", F.array().cast("array<string>"))
+    forms = aliases(spark, sf).select("eid", "kind", "surface").union(spark.range(9).select(F.col("id") + 1_000_000, F.lit("handle"), F.concat(F.lit("h"), F.col("id") % 8)))
+    everyone = forms.select("eid").distinct().where("eid <> 1000003")
+    return L.document_graph(docs, forms, everyone, spark.createDataFrame([("customer.000000004",)], "local string"))
+
+
+def spoke_in(spark, sf):
+    return graph(spark, sf)["spoke_in"]
+
+
+def sent(spark, sf):
+    return graph(spark, sf)["sent"]
+
+
+def mentioned_in(spark, sf):
+    return graph(spark, sf)["mentioned_in"]
+
+
+def mention_outcomes(spark, sf):
+    return graph(spark, sf)["outcomes"]
+
+
+def denotes_edges(spark, sf):
+    return L.surface_graph(aliases(spark, sf))["denotes"]
+
+
+def quoted_items(spark, sf):
+    """Work items by the documents that quote them: their own orders, and those whose text names an order number in capitals."""
+    docs = recorded(spark, sf).withColumn("body", F.concat(F.col("body"), F.lit(" see ord-"), F.floor(F.col("doc_id") / 10) * 5, F.lit(".")))
+    return L.quoting(docs, docs.select(F.col("ticket_key").alias("key"))).select("key", "source", "doc_id")
+
+
+def uploads(spark, sf):
+    rows = L.uploads(recorded(spark, sf))
+    return rows.select("doc_id", "text", F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("meta"))
+
+
+def first_hits(spark, sf):
+    """Lines of a result as hits of their orders, the dearest first."""
+    place = F.row_number().over(Window.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")).cast("bigint")
+    few = _t(spark, sf, "lineitem").where("l_quantity > 45 AND l_discount = 0.05").withColumn("rank", place)  # a page of hits
+    return L.first_hits(few.select("rank", F.col("l_orderkey").alias("doc_id")))
+
+
+def retrieval_report(spark, sf):
+    """Customers as questions: their dearest orders by one way, their latest by another, against the urgent ones."""
+    o = _t(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderdate", "o_orderpriority")
+    ranked = lambda c: o.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "doc_id")))
+    kinds = _t(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), F.col("c_mktsegment").alias("kind"))
+    return L.retrieval_report({"plain": ranked("o_totalprice"), "identity": ranked("o_orderdate")}, o.where("o_orderpriority = '1-URGENT'").select("qid", "doc_id"), kinds, 3)
+
+
+def upserted(spark, sf):
+    """Customers merged with a later load of every second one."""
+    own = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1).alias("load"))
+    return upsert(own, own.where("id % 2 = 0").select((F.col("id") + 1).alias("id"), F.upper("name").alias("name"), F.lit(2).alias("load")))
+
+
 def facet_rows(spark, sf):
     pairs = F.array_join(F.transform("participants", lambda p: F.concat(p["name"], F.lit("/"), p["email"])), "|")
     heads = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
@@ -304,7 +365,24 @@ al AS (SELECT DISTINCT eid, name, kind, surface, 100 - length(surface) + eid % 5
   UNION ALL SELECT eid, name, 'email', mail FROM w UNION ALL SELECT eid, name, 'name', 'Buyer ' || g || CASE WHEN eid % 3 = 0 THEN ' Jr' ELSE '' END FROM w))
 """
 CARD = "'source: ' || source || chr(10) || 'containers: ' || array_to_string(containers, ', ')"
+SPOKEN = """, sp AS (SELECT doc_id, unnest(list_distinct(spoken)) AS t, spoken FROM d WHERE k % 4 = 0)"""
 QUERIES = {
+    "spoke_in": (spoke_in, DOCS + SPOKEN + """ SELECT 1000000 + CAST(t[2:] AS BIGINT) AS eid, doc_id, len(list_filter(spoken, lambda x: x = t)) AS mention_count, 'handle' AS kinds FROM sp WHERE t NOT IN ('h0', 'h8', 'h3')"""),
+    "sent": (sent, DOCS + "SELECT c_custkey AS eid, doc_id, 1::BIGINT AS mention_count, 'email' AS kinds FROM d WHERE k % 4 = 1 AND c_custkey <> 4"),
+    "mentioned_in": (mentioned_in, DOCS + SPOKEN + """ SELECT 1000000 + CAST(t[2:] AS BIGINT) AS eid, doc_id, len(list_filter(spoken, lambda x: x = t)) AS mention_count, 'handle' AS kinds FROM sp WHERE t NOT IN ('h0', 'h8', 'h3')
+      UNION ALL SELECT c_custkey, doc_id, 4, 'email' FROM d WHERE c_custkey <> 4"""),
+    "mention_outcomes": (mention_outcomes, DOCS + """, e AS (SELECT unnest(spoken) AS t FROM d WHERE k % 4 = 0), x AS (SELECT CASE WHEN t = 'h0' THEN 'ambiguous' WHEN t = 'h8' THEN 'unresolved' ELSE 'linked' END AS outcome, 1 AS n FROM e
+      UNION ALL SELECT CASE WHEN c_custkey = 4 THEN 'unresolved' ELSE 'linked' END, 4 FROM d UNION ALL SELECT 'unresolved', 3 FROM d) SELECT outcome, sum(n)::BIGINT AS surfaces FROM x GROUP BY outcome"""),
+    "denotes_edges": (denotes_edges, ALIASES + "SELECT lower(surface) AS text, eid, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds, sum(occurrences)::BIGINT AS occurrences FROM al GROUP BY ALL"),
+    "quoted_items": (quoted_items, DOCS + """, q AS (SELECT doc_id, source, unnest(list_distinct([CASE WHEN ticket_key <> '' THEN ticket_key END, 'ORD-' || ((doc_id // 10) * 5), CASE WHEN true THEN 'ORDER-' || doc_id END])) AS key FROM d)
+      SELECT key, source, doc_id FROM q WHERE key IN (SELECT ticket_key FROM d WHERE ticket_key <> '')"""),
+    "uploads": (uploads, DOCS + """SELECT doc_id, title || chr(10) || chr(10) || body AS text, array_to_string(list_sort(list_filter(['doc_id=' || doc_id, 'source=' || source, 'title=' || title, CASE WHEN k % 7 = 0 THEN 'date=' || day END,
+      CASE WHEN ticket_key <> '' THEN 'ticket_key=' || ticket_key END, CASE WHEN thread_id <> '' THEN 'thread_id=' || thread_id END], lambda x: x IS NOT NULL)), '|') AS meta FROM d"""),
+    "first_hits": (first_hits, """WITH h AS (SELECT row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank, l_orderkey AS doc_id FROM lineitem WHERE l_quantity > 45 AND l_discount = 0.05) SELECT min(rank) AS rank, doc_id FROM h GROUP BY doc_id"""),
+    "retrieval_report": (retrieval_report, """WITH r AS (SELECT o_custkey AS qid, o_orderpriority = '1-URGENT' AS good, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS b FROM orders),
+      q AS (SELECT c_mktsegment AS kind, max(CASE WHEN a <= 3 THEN 1 ELSE 0 END) AS p, max(CASE WHEN b <= 3 THEN 1 ELSE 0 END) AS i FROM r JOIN customer ON qid = c_custkey WHERE good GROUP BY qid, kind)
+      SELECT kind, count(*) AS questions, sum(p)::BIGINT AS plain, sum(i)::BIGINT AS identity, count(*) FILTER (i > p) AS won, count(*) FILTER (i < p) AS lost FROM q GROUP BY ROLLUP (kind)"""),
+    "node_upsert": (upserted, "SELECT c_custkey AS id, c_name AS name, 1 AS load FROM customer WHERE c_custkey NOT IN (SELECT c_custkey + 1 FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT c_custkey + 1, upper(c_name), 2 FROM customer WHERE c_custkey % 2 = 0"),
     "facet_rows": (facet_rows, DOCS + f"""SELECT doc_id, source, title, date, ticket_key, thread_id, slug, array_to_string(containers, '|') AS containers, CASE WHEN k % 4 = 0 THEN array_to_string({_SPEAKERS}, '|') ELSE '' END AS speakers,
       person AS attendees, c_name || '/' || mail AS participants, CASE WHEN k % 4 = 1 THEN 'date=' || day || '|from=' || c_name || ' <' || mail || '>|subject=Order ' || k ELSE '' END AS headers FROM d"""),
     "facet_text": (facet_text, DOCS + TEXT.replace(", CASE WHEN k % 4 = 1 THEN '' END", "") + " SELECT doc_id, facets FROM s"),

@@ -211,6 +211,7 @@ def _parts(members: DataFrame) -> DataFrame:
 def _stars(rows: DataFrame, *bucket: str) -> DataFrame:
     """Links (node, center) of the nodes in a bucket to the smallest node in it."""
     firsts = rows.groupBy(*bucket).agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center <> other").drop("other")
+    firsts = stored(firsts, "firsts")  # with both sides of the join read anew, a bucket of very many rows can be split
     return rows.join(firsts, [*bucket]).where("node <> center").select("node", "center")
 
 
@@ -229,6 +230,7 @@ def _rare_clusters(docs: DataFrame, members: DataFrame, k: int, threshold: Fract
     sets = stored(texts.mapInArrow(listed, "node long, cluster long, known long, shingles array<long>"), "sets")
     rows = sets.select("cluster", "node", "known", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("own"), F.explode("shingles").alias("shingle"))
     common = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("often"), F.min("known").alias("a"), F.max("known").alias("b")).where("a < b").drop("a", "b")
+    common = stored(common, "common")
     shared = rows.join(common, ["cluster", "shingle"]).groupBy("cluster", "node", "own").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
     p, q = threshold.numerator, threshold.denominator
     rarest = F.size("shared") - F.ceil(p * F.col("n") / F.lit(q)) + 1

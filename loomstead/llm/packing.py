@@ -26,7 +26,7 @@ from .text import pieces, utf8
 
 ROOM = 2048
 #: About so many pieces share a (length, salt) group at most.
-GROUP_ROWS = 2000
+GROUP_ROWS = 500
 #: Words that a worker remembers: about 200 bytes each.
 KNOWN = 100_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -131,7 +131,9 @@ def arbitrate(claims: DataFrame, folding: bool = True) -> DataFrame:
         F.when(F.col("sides") == 1, "settled").when(F.col("decided") & (F.col("value_rank") == 1), "accepted")
         .when(F.col("decided") & F.col("recency_moved"), "superseded").otherwise("disputed")
     )
-    return df.withColumn("status", status).withColumn("rationale", F.when(F.col("sides") > 1, F.when(F.col("decided"), reason).otherwise(refused)))
+    rationale = F.when(F.col("sides") > 1, F.when(F.col("decided"), reason).otherwise(refused))
+    told = lambda side: F.when(F.col("sides") > 1, F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("claim_id", "object_value", "asserted_at", "trust")))).alias(side)
+    return df.select(*claims.columns, "subject_key", "value_key", "trust", "place", "value_rank", "sides", "decided", status.alias("status"), rationale.alias("rationale"), told("winner"), told("runner"))
 
 
 def disagreements(arbitrated: DataFrame) -> DataFrame:

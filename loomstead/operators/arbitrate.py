@@ -82,7 +82,7 @@ def trusted(claims: DataFrame, folding: bool = True) -> DataFrame:
     own = Window.partitionBy(*GROUP)
     df = claims.withColumn("subject_key", subject_key(F.col("subject"))).withColumn("value_key", value_key(F.col("object_value")))
     if folding:  # once a group, on one of its claims, and only where some value stands inside another
-        df = df.withColumn("values", F.collect_set("value_key").over(own)).withColumn("first", F.row_number().over(own.orderBy("claim_id")) == 1)
+        df = df.withColumn("values", F.collect_set("value_key").over(own)).withColumn("first", F.min("claim_id").over(own) == F.col("claim_id"))
         df = df.withColumn("folded", F.when(F.col("first") & foldable(F.col("values")), fold(F.col("values")))).drop("values", "first")
         df = df.withColumn("folded", F.first("folded", ignorenulls=True).over(own)).withColumn("value_key", F.coalesce(F.element_at("folded", F.col("value_key")), "value_key")).drop("folded")
     df = df.withColumn("holders", F.count("*").over(Window.partitionBy(*GROUP, "value_key"))).withColumn("day", day(F.col("asserted_at")))

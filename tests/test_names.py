@@ -10,9 +10,9 @@ def rows(spark, values, column):
 
 
 def test_names_in_normal_form(spark):
-    q = F.array(F.lit("ae"), F.lit("redwood"), F.lit("head"))
-    got = rows(spark, ["Maya Chen (Redwood AE)", "Maya Chen Redwood AE", "  maya   CHEN ", "Conor O’Brien", "Ann Head", "Müller, Anna"], N.norm_name(F.col("v"), q))
-    assert got == {"Maya Chen (Redwood AE)": "maya chen", "Maya Chen Redwood AE": "maya chen", "  maya   CHEN ": "maya chen", "Conor O’Brien": "conor o'brien", "Ann Head": "ann head", "Müller, Anna": "müller anna"}
+    q = F.array(F.lit("ae"), F.lit("northwind"), F.lit("head"))
+    got = rows(spark, ["Maya Chen (Northwind AE)", "Maya Chen Northwind AE", "  maya   CHEN ", "Conor O’Brien", "Ann Head", "Müller, Anna"], N.norm_name(F.col("v"), q))
+    assert got == {"Maya Chen (Northwind AE)": "maya chen", "Maya Chen Northwind AE": "maya chen", "  maya   CHEN ": "maya chen", "Conor O’Brien": "conor o'brien", "Ann Head": "ann head", "Müller, Anna": "müller anna"}
 
 
 def test_shapes(spark):

@@ -6,13 +6,14 @@ folding of equal texts comes before the refinement. The README says why.
 1. Documents are stored in chunks of about ``CHUNK`` bytes, in a table bucketed by chunk, so that later joins by chunk move
    no text. A chunk cuts its windows into runs that share a minimizer (the least hash of a ``GRAM``-byte string in the window).
 2. Minimizers that occur in one document only can't stand in a repeated window; all others are told to the chunks.
-3. A chunk sends the distinct texts of its runs with repeated minimizers, with their smallest and largest document, to the
-   bucket of the minimizer: equal windows always meet there.
+3. A chunk sends the distinct texts of its runs with repeated minimizers, with their smallest and largest document and their
+   places in the chunk, to the bucket of the minimizer: equal windows always meet there.
 4. A bucket puts the distinct texts one behind another and refines the order of their windows: each step deals them out,
-   stably, by the two bytes before the place reached, so that after step t they are in the order of their last 2t bytes,
+   stably, by the four bytes before the place reached, so that after step t they are in the order of their last 4t bytes,
    and groups with that much in common are carried along. Windows alone in their group leave.
-   After WINDOW bytes the groups are the repeated intervals. Each interval's smallest document goes back to the chunks.
-5. A chunk marks the windows whose smallest document is below their own and cuts those bytes out.
+   After WINDOW bytes the groups are the repeated intervals. Each interval's smallest document goes back to the chunks, with
+   the places of its windows.
+5. A chunk takes the places whose smallest document is below their own and cuts those bytes out; it looks for no runs again.
 
 Repeated texts are folded before each shuffle (within a chunk, then within a bucket), so copies cost no more than chunks.
 
@@ -39,7 +40,7 @@ WINDOW, GRAM = 50, 24
 CHUNK = 8 << 20
 #: Bytes of documents for each bucket of minimizers.
 BUCKET = 16 << 20
-_SLICE = 1 << 17
+_SLICE = 1 << 15
 _FACTORS = [U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F), U(0xA24BAED4963EE407), U(0x8EBC6AF09C88C6E3)]
 _TABLE = _BYTE.copy()
 for _b in (0x20, *range(0x09, 0x0E)):
@@ -66,24 +67,30 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     n, out = len(buf), []
     ends = off[1:]
     width = WINDOW - GRAM + 1
+    one, two = np.empty((2, _SLICE + WINDOW), U)
     for a in range(0, n - WINDOW + 1, _SLICE):
         b = min(a + _SLICE, n - WINDOW + 1)
         with np.errstate(over="ignore"):
-            h = _TABLE[buf[a : b + WINDOW - 1]]
+            h, spare = np.take(_TABLE, buf[a : b + WINDOW - 1], out=one[: b - a + WINDOW - 1], mode="clip"), two
             for step, factor in zip((1, 2, 4), _FACTORS, strict=False):
-                h = h[:-step] * factor + h[step:]
+                wider = np.multiply(h[:-step], factor, out=spare[: len(h) - step])
+                wider += h[step:]
+                h, spare = wider, one if spare is two else two
             eight = h  # hashes of 8 bytes, then of 16 and of 24
-            h = h[:-8] * _FACTORS[3] + h[8:]
-            h = h[:-8] * _FACTORS[4] + eight[16:]
-            h ^= h >> U(29)
+            h = np.multiply(eight[:-8], _FACTORS[3], out=spare[: len(eight) - 8])
+            h += eight[8:]
+            h = h[:-8]
+            h *= _FACTORS[4]
+            h += eight[16:]
+            free = one if spare is two else two
+            h ^= np.right_shift(h, U(29), out=free[: len(h)])
             h *= U(0xBF58476D1CE4E5B9)
-            h ^= h >> U(32)
         have = 1
         while 2 * have <= width:
-            h = np.minimum(h[:-have], h[have:])
+            h, free, spare = np.minimum(h[:-have], h[have:], out=free[: len(h) - have]), spare, free
             have *= 2
         if have < width:
-            h = np.minimum(h[: have - width], h[width - have :])
+            h = np.minimum(h[: have - width], h[width - have :], out=free[: len(h) + have - width])
         rows = slice(np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b + WINDOW) + 1)
         good = np.ones(b - a, bool)
         for e in ends[rows]:
@@ -95,7 +102,8 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         at = np.flatnonzero(change)
         size = np.diff(np.append(at, b - a))
         kept = good[at]
-        out.append((at[kept] + a, size[kept], h[at[kept]]))
+        m = h[at[kept]]
+        out.append((at[kept] + a, size[kept], m ^ (m >> U(32))))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -140,6 +148,27 @@ def _own_runs(buf, off, known):
     return start, many, minimizer, row
 
 
+def _keys(m: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a minimizer in one number."""
+    return (_bucket(m, buckets) << U(32)) | (m & U(0xFFFFFFFF))
+
+
+def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
+    """Of sorted keys: where each cell (their upper half) begins, and the end."""
+    return np.searchsorted(keys, np.arange(cells + 1, dtype=U) << U(32))
+
+
+def _binary(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The values between one place of ``cut`` and the next as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * values.itemsize).astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All 32-bit numbers of a column of bytes, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
+
 def _minimizers(buckets: int):
     def found(batches):
         for b in batches:
@@ -150,19 +179,19 @@ def _minimizers(buckets: int):
                 part = b.slice(at, to - at)
                 buf, off, ids, known = _docs(part.column("text"), part.column("id"))
                 _, _, m, row = _own_runs(buf, off, known)
-                order = np.argsort(m)
-                m, doc = m[order], ids[row[order]]
-                first = np.flatnonzero(np.append(True, m[1:] != m[:-1])) if len(m) else np.zeros(0, np.int64)
-                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(m) else np.zeros(0, bool)
-                m = m[first]
-                bucket = _bucket(m, buckets)
-                order = np.argsort(bucket, kind="stable")
-                m, several, bucket = m[order], several[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
+                key = _keys(m, buckets)
+                order = np.argsort(key)
+                key, doc = key[order], ids[row[order]]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(key) else np.zeros(0, bool)
+                key = key[first]
+                cuts = []
+                for own in (key[several], key[~several]):
+                    cuts.append((own.astype(np.uint32), _cells(own, buckets)))
+                some = np.flatnonzero(np.diff(cuts[0][1]) + np.diff(cuts[1][1]))
                 chunk = part.column("chunk")[0].as_py()
-                rows = [(k, np.sort(m[i:j][several[i:j]].astype(np.uint32)), np.sort(m[i:j][~several[i:j]].astype(np.uint32))) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+                    [pa.array(np.full(len(some), chunk, np.int64)), pa.array(some.astype(np.int64)), *(_binary(own, np.append(cut[some], cut[-1])) for own, cut in cuts)],
                     ["chunk", "bucket", "several", "single"])
 
     return found
@@ -170,55 +199,51 @@ def _minimizers(buckets: int):
 
 def _repeated(t: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk, those of its minimizers that occur in two documents."""
-    several, single = ([np.frombuffer(x, np.uint32) for x in t.column(c).to_pylist()] for c in ("several", "single"))
-    values, counts = np.unique(np.concatenate([*several, *(x for s in zip(several, single, strict=True) for x in (np.unique(np.concatenate(s)),))]), return_counts=True)
-    often = values[counts > 1]
-    out = [np.intersect1d(np.concatenate(s), often) for s in zip(several, single, strict=True)]
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": pa.array([0] * len(out), pa.int32()), "blob": pa.array([pack(x) for x in out], pa.binary())})
-
-
-class Chunk:
-    """A chunk's runs with repeated minimizers, and the distinct texts of each bucket's in order."""
-
-    def __init__(self, docs: pa.Table, replies: pa.Table, buckets: int):
-        self.buf, self.off, self.ids, self.known = _docs(docs.column("text").combine_chunks(), docs.column("id").combine_chunks())
-        start, many, m, row = _own_runs(self.buf, self.off, self.known)
-        often = [(k << 32) + unpack(x, np.uint32)[0].astype(np.int64) for k, kind, x in zip(*(replies.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if not kind]
-        often = np.sort(np.concatenate(often)) if often else np.zeros(0, np.int64)
-        bucket = _bucket(m, buckets).astype(np.int64)
-        key = (bucket << 32) + m.astype(np.uint32).astype(np.int64)
-        at = np.searchsorted(often, key)
-        keep = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == key) if len(often) else np.zeros(0, np.int64)
-        keep = keep[np.argsort(bucket[keep], kind="stable")]
-        self.start, self.many, self.row, self.bucket = start[keep], many[keep], row[keep], bucket[keep]
-        raw = self.buf.tobytes()
-        end = self.start + self.many + WINDOW - 1
-        texts = [raw[a:b] for a, b in zip(self.start.tolist(), end.tolist(), strict=True)]
-        self.number = np.zeros(len(texts), np.int64)
-        self.distinct: dict[int, list[bytes]] = {}
-        cut = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(texts) else np.zeros(0, np.int64)
-        self.spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(texts)][: len(cut)], strict=True))
-        for i, j in self.spans:
-            kinds = sorted(set(texts[i:j]))
-            place = {t: k for k, t in enumerate(kinds)}
-            self.number[i:j] = [place[t] for t in texts[i:j]]
-            self.distinct[int(self.bucket[i])] = kinds
+    cells = np.arange(t.num_rows, dtype=U)
+    seen = []
+    for flag, column in enumerate(("single", "several")):
+        values, counts = _numbers(t.column(column))
+        seen.append((values.astype(U) << U(32)) | np.repeat(cells << U(1) | U(flag), counts))
+    seen = np.sort(np.concatenate(seen))
+    value = seen >> U(32)
+    edge = np.ones(len(seen) + 1, bool)
+    np.not_equal(value[1:], value[:-1], out=edge[1:-1])
+    often = ~(edge[:-1] & edge[1:]) | (seen & U(1)).astype(bool)
+    out = np.sort((seen[often] & U(0xFFFFFFFF)) >> U(1) << U(32) | value[often])
+    cut = _cells(out, t.num_rows)
+    some = np.flatnonzero(np.diff(cut))
+    return pa.table({"chunk": t.column("chunk").take(pa.array(some)), "bucket": t.column("bucket").take(pa.array(some)), "blob": _binary(out.astype(np.uint32), np.append(cut[some], cut[-1]))})
 
 
 def _segments(buckets: int):
     def sent(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = []
-        if docs.num_rows:
-            c = Chunk(docs, replies, buckets)
-            for i, j in c.spans:
-                kinds = c.distinct[int(c.bucket[i])]
-                order = np.argsort(c.number[i:j], kind="stable")
-                first = np.searchsorted(c.number[i:j][order], np.arange(len(kinds)))
-                doc = c.ids[c.row[i:j]][order]
-                lengths = np.fromiter(map(len, kinds), np.uint32, len(kinds))
-                rows.append((docs.column("chunk")[0].as_py(), int(c.bucket[i]), pack(np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), lengths, np.frombuffer(b"".join(kinds), np.uint8))))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"chunk": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary())})
+        rows: list[tuple[int, bytes]] = []
+        if docs.num_rows and replies.num_rows:
+            buf, off, ids, known = _docs(docs.column("text").combine_chunks(), docs.column("id").combine_chunks())
+            start, many, m, row = _own_runs(buf, off, known)
+            values, counts = _numbers(replies.column("blob"))
+            often = np.sort((np.repeat(replies.column("bucket").to_numpy().astype(U), counts) << U(32)) | values)
+            key = _keys(m, buckets)
+            keep = np.flatnonzero(often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key)
+            bucket = (key[keep] >> U(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keep, bucket = keep[order], bucket[order]
+            start, many, doc = start[keep], many[keep], ids[row[keep]]
+            raw, place = buf.tobytes(), {}
+            # equal texts share their minimizer, hence their bucket: numbers given in turn are in order of buckets
+            number = np.fromiter((place.setdefault(raw[a:b], len(place)) for a, b in zip(start.tolist(), (start + many + WINDOW - 1).tolist(), strict=True)), np.int64, len(start))
+            order = np.argsort(number, kind="stable")
+            start, doc = start[order].astype(np.uint32), doc[order]
+            first = np.searchsorted(number[order], np.arange(len(place) + 1))
+            lengths = np.fromiter(map(len, place), np.uint32, len(place))
+            text, ends = np.frombuffer(b"".join(place), np.uint8), np.append(0, np.cumsum(lengths, dtype=np.int64))
+            low, high, copies = np.minimum.reduceat(doc, first[:-1]), np.maximum.reduceat(doc, first[:-1]), np.diff(first).astype(np.uint32)
+            of = bucket[order][first[:-1]]
+            heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True):
+                rows.append((int(of[i]), pack(low[i:j], high[i:j], lengths[i:j], copies[i:j], start[first[i] : first[j]], text[ends[i] : ends[j]])))
+        chunk = docs.column("chunk")[0].as_py() if rows else 0
+        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return sent
 
@@ -226,130 +251,125 @@ def _segments(buckets: int):
 def interleave(buf: np.ndarray, start: np.ndarray, many: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each window of the strings at ``start`` (with ``many`` windows each, one string behind the other): the least ``doc`` of a string with an equal window.
 
-    The suffixes begin in the order of their strings. ``place`` goes back two bytes a step: at length h it is where the last
-    h bytes of a window begin, and the two bytes before it are its symbol.
+    The suffixes begin in the order of their strings. A step goes back four bytes: these are a window's symbol, and after it
+    the windows are in the order of all bytes from there to their ends. Their numbers stand below the symbols that are sorted,
+    which makes a step stable.
     """
     total = int(many.sum())
-    string = np.repeat(np.arange(len(start)), many)
     base = np.cumsum(many) - many
-    first = (np.arange(total) - np.repeat(base, many) + np.repeat(start, many)).astype(np.int32 if len(buf) < 2**31 else np.int64)
-    least = doc[string].copy()
-    symbols = buf[:-1].astype(np.uint16) << 8 | buf[1:]
-    number, group = np.arange(total, dtype=np.int32), np.zeros(total, np.int32)
-    for step in range(1, window // 2 + 1):
-        symbol = symbols[first[number] + (window - 2 * step)]
-        order = np.argsort(symbol, kind="stable")
-        number, group, symbol = number[order], group[order], symbol[order]
-        new = np.empty(len(number) + 1, bool)
-        new[0] = new[-1] = True
+    place = (np.arange(total) + np.repeat(start - base, many)).astype(np.int32 if len(buf) < 2**31 else np.int64)
+    least = np.repeat(doc, many)
+    symbols = np.ascontiguousarray(np.ndarray(max(0, len(buf) - 3), "<u4", np.ascontiguousarray(buf), strides=(1,)))
+    number, group = np.arange(total, dtype=np.uint32), np.zeros(total, np.uint32)
+    left = window
+    while left and len(number):
+        width = min(4, left)
+        left -= width
+        at = np.take(place, number, mode="clip")
+        at += left
+        symbol = np.take(symbols, at, mode="clip").astype(U)
+        symbol &= U((1 << 8 * width) - 1)
+        symbol <<= U(32)
+        symbol |= np.arange(len(number), dtype=U)
+        symbol.sort()
+        order = symbol.astype(np.uint32)
+        symbol >>= U(32)
+        number, group = np.take(number, order, mode="clip"), np.take(group, order, mode="clip")
+        new = np.ones(len(number) + 1, bool)
         np.not_equal(symbol[1:], symbol[:-1], out=new[1:-1])
         new[1:-1] |= group[1:] != group[:-1]
-        group = np.cumsum(new[:-1], dtype=np.int32)
-        if step >= 5:
-            keep = ~(new[:-1] & new[1:])  # alone in its group: no other window ends in the same bytes
-            if keep.sum() < 0.8 * len(keep):
-                number, group = number[keep], group[keep]
-        if not len(number):
-            return least
-    opens = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    smallest = np.minimum.reduceat(least[number], opens)
-    least[number] = np.repeat(smallest, np.diff(np.append(opens, len(number))))
+        group = np.cumsum(new[:-1], dtype=np.uint32)
+        keep = ~(new[:-1] & new[1:])  # alone in its group: no other window ends in the same bytes
+        if np.count_nonzero(keep) < 0.9 * len(keep):
+            number, group = number[keep], group[keep]
+    if len(number):
+        opens = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        smallest = np.minimum.reduceat(least[number], opens)
+        least[number] = np.repeat(smallest, np.diff(np.append(opens, len(number))))
     return least
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk, its texts' runs of windows (text, first, windows, smallest document) that some document in it has to lose."""
+    """Of one bucket: for each chunk, the runs of windows (begin, windows, smallest document) that some document in it may have to lose."""
     place: dict[bytes, int] = {}
-    least: list[int] = []
-    shards = []
+    own, parts = [], []
     for blob in t.column("blob").to_pylist():
-        low, high, lengths, raw = unpack(blob, np.int64, np.int64, np.uint32, np.uint8)
-        raw, ends = raw.tobytes(), np.cumsum(lengths, dtype=np.int64)
-        own = np.empty(len(lengths), np.int64)
-        for k, (a, b, d) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), low.tolist(), strict=True)):
-            text = raw[a:b]
-            n = place.get(text)
-            if n is None:
-                n = place[text] = len(least)
-                least.append(d)
-            elif d < least[n]:
-                least[n] = d
-            own[k] = n
-        shards.append((own, high))
+        *part, raw = unpack(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
+        raw, ends = raw.tobytes(), np.cumsum(part[2], dtype=np.int64)
+        own.append(np.fromiter((place.setdefault(raw[a:b], len(place)) for a, b in zip((ends - part[2]).tolist(), ends.tolist(), strict=True)), np.int64, len(ends)))
+        parts.append(part)
+    texts = np.append(0, np.cumsum([len(x) for x in own]))
+    own = np.concatenate(own)
+    low, high, _, copies, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
+    least = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, low)
     size = np.fromiter(map(len, place), np.int64, len(place))
     buf = np.frombuffer(b"".join(place), np.uint8)
-    del place
+    del place, parts, low
     many = size - WINDOW + 1
-    smallest = interleave(buf, np.cumsum(size) - size, many, np.array(least, np.int64))
+    smallest = interleave(buf, np.cumsum(size) - size, many, least)
     base = np.cumsum(many) - many
     new = np.append(True, smallest[1:] != smallest[:-1])
     new[base] = True
     run = np.flatnonzero(new)
     run_many = np.diff(np.append(run, len(smallest)))
     of = np.searchsorted(run, base)
-    run_text = np.searchsorted(base, run, side="right") - 1
-    run_first, run_doc = run - base[run_text], smallest[run]
-    count = np.diff(np.append(of, len(run)))
-    out = []
-    for own, high in shards:
-        n = count[own]
-        text = np.repeat(np.arange(len(own)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - of[own], n)
-        lose = run_doc[at] < high[text]
-        text, at = text[lose], at[lose]
-        out.append(pack(text.astype(np.uint32), run_first[at].astype(np.uint32), run_many[at].astype(np.uint32), run_doc[at]))
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": pa.array([1] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
-
-
-def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """``gone``, but a character stays whole if one of its bytes stays."""
-    starts = np.flatnonzero((buf & 0xC0) != 0x80)
-    if not len(starts):
-        return gone
-    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.append(starts, len(buf))))
-
-
-def _cut(buckets: int, characters: bool, carry: list[str]):
+    run_first, run_doc = run - np.repeat(base, np.diff(np.append(of, len(run)))), smallest[run]
+    count = np.diff(np.append(of, len(run)))[own]
+    text = np.repeat(np.arange(len(own)), count)
+    at = _within(count) + np.repeat(of[own], count)
+    lose = run_doc[at] < high[text]
+    text, at = text[lose], at[lose]
+    copies = copies.astype(np.int64)
+    count = copies[text]  # each place of the text loses the run
+    where = _within(count) + np.repeat((np.cumsum(copies) - copies)[text], count)
+    at, cut = np.repeat(at, count), np.append(0, np.cumsum(count))[np.searchsorted(text, texts)]
+    begin, lost, doc = begin[where] + run_first[at].astype(np.uint32), run_many[at].astype(np.uint32), run_doc[at]
+    some = np.flatnonzero(np.diff(cut))
+    out = [pack(begin[i:j], lost[i:j], doc[i:j]) for i, j in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
+    return pa.table({"chunk": t.column("chunk").take(pa.array(some)), "bucket": t.column("bucket").take(pa.array(some)), "blob": pa.array(out, pa.binary())})
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _whole_characters(buf: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without characters that they cover in part only; they may become empty."""
+    inner = np.append((buf & 0xC0) == 0x80, False)
+    while (late := inner[opens] & (opens < closes)).any():
+        opens = opens + late
+    while (early := inner[closes] & (opens < closes)).any():
+        closes = closes - early
+    return opens, closes
+
+
+def _cut(characters: bool, carry: list[str]):
     def cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(docs, replies, buckets)
-        step = np.zeros(len(c.buf) + 1, np.int32)
-        spans = {int(c.bucket[i]): (i, j) for i, j in c.spans}
-        for bucket, which, blob in zip(*(replies.column(x).to_pylist() for x in ("bucket", "kind", "blob")), strict=True):
-            if not which:
-                continue
-            text, first, many, doc = unpack(blob, np.uint32, np.uint32, np.uint32, np.int64)
-            i, j = spans[bucket]
-            order = np.argsort(c.number[i:j], kind="stable")
-            number = c.number[i:j][order]
-            a, b = np.searchsorted(number, text), np.searchsorted(number, text, side="right")
-            n = b - a
-            reply = np.repeat(np.arange(len(text)), n)
-            at = i + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - a, n)]
-            lose = c.ids[c.row[at]] > doc[reply]
-            at, reply = at[lose], reply[lose]
-            begin = c.start[at] + first[reply].astype(np.int64)
-            np.add.at(step, begin, 1)
-            np.add.at(step, begin + many[reply] + WINDOW - 1, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        buf, off, ids, _ = _docs(docs.column("text").combine_chunks(), docs.column("id").combine_chunks())
+        found = [unpack(x, np.uint32, np.uint32, np.int64) for x in replies.column("blob").to_pylist()]
+        begin, many, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else np.zeros((3, 0), np.int64)
+        begin = begin.astype(np.int64)
+        row = np.searchsorted(off, begin, side="right") - 1
+        lose = np.flatnonzero(ids[row] > doc)
+        lose = lose[np.argsort(begin[lose])]
+        begin, row = begin[lose], row[lose]
+        far = np.maximum.accumulate(begin + many[lose] + WINDOW - 1)
+        head = np.flatnonzero((begin > np.append(-1, far[:-1])[: len(far)]) | (row != np.append(-1, row[:-1])[: len(row)]))
+        opens, closes = begin[head], far[np.append(head[1:], len(far))[: len(head)] - 1]
         if characters:
-            gone = _whole_characters(c.buf, gone)
-        edge = gone.copy()
-        edge[1:] &= ~gone[:-1]
-        heads = c.off[:-1][np.diff(c.off) > 0]
-        edge[heads] = gone[heads]
-        opens = np.flatnonzero(edge)
-        tail = gone.copy()
-        tail[:-1] &= ~gone[1:]
-        tails = c.off[1:][np.diff(c.off) > 0] - 1
-        tail[tails] = gone[tails]
-        closes = np.flatnonzero(tail) + 1
-        row = np.searchsorted(c.off, opens, side="right") - 1
-        per_row = np.searchsorted(row, np.arange(len(c.off)))
-        kept = c.buf[~gone]
-        left = np.concatenate([[0], np.cumsum(~gone)])[c.off]
+            opens, closes = _whole_characters(buf, opens, closes)
+            some = opens < closes
+            opens, closes = opens[some], closes[some]
+        row = np.searchsorted(off, opens, side="right") - 1
+        per_row = np.searchsorted(row, np.arange(len(off)))
+        left = off - np.append(0, np.cumsum(closes - opens))[per_row]
+        raw = memoryview(buf)
+        kept = b"".join([raw[a:b] for a, b in zip([int(off[0]), *closes.tolist()], [*opens.tolist(), int(off[-1])], strict=True)])
         big = lambda offsets, values: pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values, pa.int64())).cast(pa.list_(pa.int64()))
-        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(c.off) - 1, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-        return pa.table({"id": docs.column("id"), "n_bytes": np.diff(c.off), "starts": big(per_row, opens - c.off[row]), "ends": big(per_row, closes - c.off[row]), "kept": texts} | {x: docs.column(x) for x in carry})
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept)]).cast(pa.binary())
+        return pa.table({"id": docs.column("id"), "n_bytes": np.diff(off), "starts": big(per_row, opens - off[row]), "ends": big(per_row, closes - off[row]), "kept": texts} | {x: docs.column(x) for x in carry})
 
     return cut
 
@@ -373,12 +393,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = spark.table(name)
     plain = chunks.select("id", "text", "chunk")
     found = plain.mapInArrow(_minimizers(buckets), "chunk long, bucket long, several binary, single binary")
-    reply = "chunk long, bucket long, kind int, blob binary"
-    often = stored(found.groupBy("bucket").applyInArrow(_repeated, reply), "often")
-    sent = plain.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_segments(buckets), "chunk long, bucket long, blob binary")
-    replies = stored(often.union(sent.groupBy("bucket").applyInArrow(_merged, reply)), "replies")
+    cell = "chunk long, bucket long, blob binary"
+    often = stored(found.groupBy("bucket").applyInArrow(_repeated, cell), "often")
+    sent = plain.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_segments(buckets), cell)
+    replies = stored(sent.groupBy("bucket").applyInArrow(_merged, cell), "replies")
     result = "id long, n_bytes long, starts array<long>, ends array<long>, kept binary" + kinds
-    cut = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(buckets, characters, list(carried)), result)
+    cut = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(characters, list(carried)), result)
     return cut.toDF(id_col, "n_bytes", "starts", "ends", "kept", *carry)
 
 
